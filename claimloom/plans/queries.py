@@ -6,4 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from claimloom.operators import nested
+from claimloom.session import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.work_rows(table(spark, d, "registry_records"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from claimloom.llm.lookalike import skeleton
 from claimloom.operators.skew import lookup_join
+from claimloom.session import cut
 
 _THOUSANDS = re.compile(r"(?<![\d.,])\d{1,3}(?:,\d{3})+(?![\d]|,\d)")
 _CONTENT = re.compile(r"(?<![\w.])[+\-−]?(?:\d+(?:\.\d+)?|\.\d+)|[^\W_̀-ͯ]+[̀-ͯ]*|[<>]")
@@ -84,7 +85,7 @@ def copies(rows: DataFrame, key: str = "id", text: str = "claim_text") -> DataFr
     The group of each raw text is looked up from the grouped table; texts that hold a large part of all
     rows are matched in place (see ``lookup_join``), so no group is gathered in a task.
     """
-    g = canonical_groups(rows, key, text)
+    g = cut(canonical_groups(rows, key, text))
     kept = g.groupBy("canon").agg(F.min("first_id").alias("kept_id"), F.sum("n").alias("copies")).where("copies > 1").drop("copies")
     lookup = g.join(kept, "canon").select("text", "kept_id", "n")
     slim = rows.select(F.col(text).alias("text"), F.col(key).cast("long").alias("copy_id"))

@@ -1,3 +1,5 @@
 """SQL that checks the queries here, where SQL can express them over whole tables."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": "SELECT id FROM chunks WHERE length(text) > 4000",
+}

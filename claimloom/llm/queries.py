@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimloom.llm import dedup, lookalike
+from claimloom.llm import dedup, lookalike, split
 from claimloom.session import table
 
 
@@ -18,6 +18,14 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return dedup.collapse(table(spark, d, "claims").select("id", "claim_text")).select("kept_id", "copies", "variants")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.pieces(table(spark, d, "chunks")).where("piece = 0 and pieces > 1").select("id")
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.pieces(table(spark, d, "chunks"))
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     parts = [("claims", "id", "claim_text"), ("extracted_pages", "page_id", "text"), ("evidence_candidates", "candidate_id", "quote")]
     one = [table(spark, d, t).select(F.lit(t).alias("tab"), F.col(k).cast("long").alias("key"), F.col(x).alias("text")) for t, k, x in parts]
@@ -36,6 +44,8 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
 }

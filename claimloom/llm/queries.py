@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimloom.llm import dedup, lookalike, split
+from claimloom.llm import dedup, lookalike, packing, split
 from claimloom.session import table
 
 
@@ -41,6 +42,15 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return f.select("tab", "key", "form", F.lower(F.hex("form_hash")).alias("form_hash"), "n_repaired", "n_unknown")
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """A public vocabulary file: in the folder CLAIMLOOM_TOKENIZERS names, else where the box has it."""
+    return os.path.join(os.environ.get("CLAIMLOOM_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), vocabulary_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -48,4 +58,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p6_packed": p6_packed,
 }

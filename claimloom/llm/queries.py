@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimloom.llm import dedup, lookalike, packing, split
+from claimloom.llm import dedup, leakage, lookalike, packing, split
 from claimloom.session import table
 
 
@@ -51,6 +51,14 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), vocabulary_path())
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).where("kind = 'phrase'").select("doc_id", "item_id")
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -59,4 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_forms": p5_forms,
     "p6_packed": p6_packed,
+    "p7_found": p7_found,
+    "p7_matches": p7_matches,
 }

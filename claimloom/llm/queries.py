@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimloom.llm import dedup, leakage, lookalike, packing, split
+from claimloom.llm import dedup, leakage, lookalike, packing, residue, split
 from claimloom.session import table
 
 
@@ -59,6 +59,14 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_marked(spark, d).where("is_residue").select("doc_id")
+
+
+def p8_marked(spark: SparkSession, d: str) -> DataFrame:
+    return residue.marked(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -69,4 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_packed": p6_packed,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
+    "p8_found": p8_found,
+    "p8_marked": p8_marked,
 }

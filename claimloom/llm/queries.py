@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from claimloom.llm import dedup, leakage, lookalike, packing, residue, split
+from claimloom.llm import boilerplate, dedup, leakage, lookalike, packing, residue, split
 from claimloom.session import table
 
 
@@ -19,6 +19,14 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return dedup.collapse(table(spark, d, "claims").select("id", "claim_text")).select("kept_id", "copies", "variants")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_paragraphs(spark, d).select("kind", "page_key", F.sha2("paragraph", 256).alias("para_hash"))
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.paragraphs(table(spark, d, "resources"), table(spark, d, "source_documents"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "chunks")).where("piece = 0 and pieces > 1").select("id")
 
@@ -70,6 +78,8 @@ def p8_marked(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p3_found": p3_found,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,

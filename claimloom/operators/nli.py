@@ -1,0 +1,67 @@
+"""Scoring of (claim, evidence) pairs by a pluggable model, in Arrow batches, one model for each Python worker.
+
+No weights come with the engine. ``score`` takes any factory of a batch scorer that gives three logits a pair; the checks
+around it (labels, lengths, finite scores) are here. ``lexical_stub`` in ``batch`` is a stand-in and says so.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from claimloom.operators.policy import softmax
+
+LABELS = ("contradiction", "entailment", "neutral")
+MAX_TOKENS = 512
+
+#: premises, hypotheses -> three logits a pair, in the model's own label order
+BatchScorer = Callable[[Sequence[str], Sequence[str]], Sequence[Sequence[float]]]
+
+
+def resolve_labels(id2label: dict[int, str]) -> list[int]:
+    """Positions of contradiction, entailment and neutral in a model's output; raises unless each occurs exactly once."""
+    names = {int(k): str(v).strip().casefold().replace("-", "_").replace(" ", "_") for k, v in id2label.items()}
+    found = []
+    for want in LABELS:
+        hits = [k for k, v in names.items() if v == want or (v.startswith(want) or want.startswith(v)) and len(v) >= 6]
+        if len(hits) != 1:
+            raise ValueError(f"the model has {len(hits)} labels for {want}")
+        found.append(hits[0])
+    if len(names) != 3 or len(set(found)) != 3:
+        raise ValueError("the model must have exactly three labels")
+    return found
+
+
+def max_length(tokenizer_limit: int | None, config_limit: int | None) -> int:
+    """Tokens a pair may have: the smallest stated limit, at most MAX_TOKENS; limits of 100,000 and more are none."""
+    stated = [x for x in (tokenizer_limit, config_limit) if x and 0 < x < 100_000]
+    return min([*stated, MAX_TOKENS])
+
+
+def score(pairs: DataFrame, factory: Callable[[], tuple[BatchScorer, dict[int, str]]], premise: str = "quote", hypothesis: str = "claim") -> DataFrame:
+    """``pairs`` with contradiction, entailment, neutral and predicted_label. Pairs with a blank side get nulls and don't
+    reach the model; a model that answers with another number of rows fails the task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, labels = factory()
+        order = resolve_labels(labels)
+        for pdf in batches:
+            ok = [bool(p and str(p).strip() and h and str(h).strip()) for p, h in zip(pdf[premise], pdf[hypothesis])]
+            got = scorer([p for p, k in zip(pdf[premise], ok) if k], [h for h, k in zip(pdf[hypothesis], ok) if k])
+            if len(got) != sum(ok):
+                raise ValueError("the model answered with another number of rows")
+            it = iter(got)
+            rows = [[float(x) for x in next(it)] if k else [None] * 3 for k in ok]
+            for name, i in zip(LABELS, order):
+                pdf[f"_{name}"] = [r[i] for r in rows]
+            yield pdf
+
+    schema = pairs.schema
+    for name in LABELS:
+        schema = schema.add(f"_{name}", "double")
+    logits = pairs.mapInPandas(run, schema)
+    s = softmax(*[F.col(f"_{n}") for n in LABELS])
+    out = logits.withColumn("_s", s)
+    return out.select(*pairs.columns, "_s.contradiction", "_s.entailment", "_s.neutral", F.col("_s.label").alias("predicted_label"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from claimloom.functions.text import strip
+from claimloom.functions.text import bind, strip
 
 # Shapes of identifiers.
 DOI = r"(?i)10\.[0-9]{4,9}/[^\s<>\x22]+"
@@ -40,15 +40,18 @@ def unquoted(c: Column) -> Column:
 def normalize_doi(c: Column) -> Column:
     """The first DOI of a DOI, resolver URL or citation, in lower case; null if there is none, or if the URL is
     another host's or holds credentials."""
-    v = unquoted(strip(c))
-    bad = is_http(v) & (has_credentials(v) | ~host(v).isin(*DOI_HOSTS))
-    body = F.when(is_http(v), F.regexp_replace(url_part(v, 3), "^/+", "")).otherwise(v)
-    found = F.regexp_replace(F.regexp_extract(body, DOI, 0), "[.,;]+$", "")
-    # Closing brackets at the end that no opening one belongs to.
-    surplus = F.greatest(F.lit(0), F.length(F.regexp_replace(found, r"[^)]", "")) - F.length(F.regexp_replace(found, r"[^(]", "")))
-    tail = F.length(found) - F.length(F.regexp_replace(found, r"\)+$", ""))
-    cut = F.substring(found, F.lit(1), F.length(found) - F.least(surplus, tail))
-    return F.when(~bad, F.nullif(F.lower(cut), F.lit("")))
+    def unbracketed(found: Column) -> Column:
+        # Closing brackets at the end that no opening one belongs to.
+        surplus = F.greatest(F.lit(0), F.length(F.regexp_replace(found, r"[^)]", "")) - F.length(F.regexp_replace(found, r"[^(]", "")))
+        tail = F.length(found) - F.length(F.regexp_replace(found, r"\)+$", ""))
+        return F.nullif(F.lower(F.substring(found, F.lit(1), F.length(found) - F.least(surplus, tail))), F.lit(""))
+
+    def of(v: Column) -> Column:
+        bad = is_http(v) & (has_credentials(v) | ~host(v).isin(*DOI_HOSTS))
+        body = F.when(is_http(v), F.regexp_replace(url_part(v, 3), "^/+", "")).otherwise(v)
+        return F.when(~bad, bind(F.regexp_replace(F.regexp_extract(body, DOI, 0), "[.,;]+$", ""), unbracketed))
+
+    return bind(unquoted(strip(c)), of)
 
 
 def is_arxiv_id(c: Column) -> Column:
@@ -74,22 +77,25 @@ def source_kind(c: Column) -> Column:
 
     A blank string is ``empty``. A citation's identity needs a registry, so it has no canonical id here.
     """
-    s = strip(c)
-    bare = F.regexp_replace(s, r"(?i)^arxiv:\s*", "")
     made = lambda kind, ident: F.struct(F.lit(kind).alias("source_type"), ident.cast("string").alias("canonical_id"))
-    url_id = arxiv_of_url(s)
-    return (
-        F.when(F.coalesce(s, F.lit("")) == "", made("empty", F.lit(None)))
-        .when(s.rlike(r"^[A-Za-z]:[\\/]"), made("local_pdf", F.concat(F.lit("local:"), s)))
-        .when(is_arxiv_id(bare), made("arxiv", F.concat(F.lit("arxiv:"), bare)))
-        .when(normalize_doi(s).isNotNull(), made("reference", F.concat(F.lit("doi:"), normalize_doi(s))))
-        .when(is_http(s) & url_id.isNotNull(), made("arxiv", F.concat(F.lit("arxiv:"), url_id)))
-        .when(is_http(s) & F.endswith(F.lower(url_part(s, 3)), F.lit(".pdf")), made("pdf_url", F.concat(F.lit("url:"), s)))
-        .when(is_http(s) & canonical_url(s).isNotNull(), made("html_url", F.concat(F.lit("url:"), canonical_url(s))))
-        .when(is_http(s), made("blocked", F.lit(None)))
-        .when((F.size(F.split(s, r"\s+")) >= 3) & ~s.rlike(r"^[/\\]"), made("citation", F.lit(None)))
-        .otherwise(made("unsupported", F.lit(None)))
-    )
+
+    def of(x: Column) -> Column:
+        s, bare, doi, url_id, url = (x[k] for k in ("s", "bare", "doi", "url_id", "url"))
+        return (
+            F.when(F.coalesce(s, F.lit("")) == "", made("empty", F.lit(None)))
+            .when(s.rlike(r"^[A-Za-z]:[\\/]"), made("local_pdf", F.concat(F.lit("local:"), s)))
+            .when(is_arxiv_id(bare), made("arxiv", F.concat(F.lit("arxiv:"), bare)))
+            .when(doi.isNotNull(), made("reference", F.concat(F.lit("doi:"), doi)))
+            .when(is_http(s) & url_id.isNotNull(), made("arxiv", F.concat(F.lit("arxiv:"), url_id)))
+            .when(is_http(s) & F.endswith(F.lower(url_part(s, 3)), F.lit(".pdf")), made("pdf_url", F.concat(F.lit("url:"), s)))
+            .when(is_http(s) & url.isNotNull(), made("html_url", F.concat(F.lit("url:"), url)))
+            .when(is_http(s), made("blocked", F.lit(None)))
+            .when((F.size(F.split(s, r"\s+")) >= 3) & ~s.rlike(r"^[/\\]"), made("citation", F.lit(None)))
+            .otherwise(made("unsupported", F.lit(None)))
+        )
+
+    parts = lambda s: F.struct(s.alias("s"), F.regexp_replace(s, r"(?i)^arxiv:\s*", "").alias("bare"), normalize_doi(s).alias("doi"), arxiv_of_url(s).alias("url_id"), canonical_url(s).alias("url"))
+    return bind(bind(strip(c), parts), of)
 
 
 # IPv4 blocks that aren't globally reachable (first address, prefix length), and exceptions in them.

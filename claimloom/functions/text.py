@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # The white space that stripping removes, as the inside of a character class.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -30,24 +32,29 @@ SUFFIXES = "izations ational fulness ousness iveness ization alising alizing ali
 VERB_ENDINGS = ("edly", "ingly", "ing", "ed")
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (all of Unicode's, not just blanks)."""
     return F.regexp_replace(F.regexp_replace(c, _HEAD, ""), _TAIL, "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC; ASCII passes untouched."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def searchable(s: pd.Series) -> pd.Series:
     """NFKC and case folding, for search tokens only."""
     return s.map(lambda x: None if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def comparable(s: pd.Series) -> pd.Series:
     """NFKD and case folding; combining marks then separate words."""
     return s.map(lambda x: None if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKD", x).casefold())

@@ -49,12 +49,10 @@ def group_sources(valid: DataFrame) -> DataFrame:
     return valid.groupBy("source").agg(F.min("index").alias("first_index"), F.count("*").alias("n_claims"))
 
 
-def lexical_scores(claim: Column, evidence: Column) -> list[Column]:
+def lexical_scores(cov: Column, numbers_hit: Column) -> list[Column]:
     """Deterministic stand-in for a language-inference model, made of stem coverage and numbers; named STUB_MODEL."""
-    cov = coverage(content_stems(claim), content_stems(evidence))
-    hit = numbers_match(numbers(claim), numbers(evidence))
-    ent = F.round(cov * F.when(hit, 0.9).otherwise(0.6), 6)
-    con = F.round(F.when(hit, 0.05).otherwise(0.3 * cov), 6)
+    ent = F.round(cov * F.when(numbers_hit, 0.9).otherwise(0.6), 6)
+    con = F.round(F.when(numbers_hit, 0.05).otherwise(0.3 * cov), 6)
     return [con.alias("contradiction"), ent.alias("entailment"), F.round(1.0 - ent - con, 6).alias("neutral")]
 
 
@@ -67,15 +65,19 @@ def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """
     hits = retrieval.top_k(pairs.select(F.col("claim_id").alias("query_id"), "source_id", F.col("claim").alias("query_text")), chunks, k)
     wanted = hits.select("chunk_id").distinct()
+    # Stems and numbers are taken once a claim and once a window, before pairs multiply them.
     w = chunking.windows(chunks.join(wanted, "chunk_id", "left_semi"), "chunk_id")
-    rows = hits.join(w, "chunk_id").join(pairs.select(F.col("claim_id").alias("query_id"), "source_id", "claim"), ["query_id", "source_id"])
+    w = w.select("chunk_id", "window_index", "start_char", "end_char", "quote", content_stems(F.col("quote")).alias("q_stems"), numbers(F.col("quote")).alias("q_numbers"))
+    c = pairs.select("claim_id", "claim").distinct().select("claim_id", content_stems(F.col("claim")).alias("c_stems"), numbers(F.col("claim")).alias("c_numbers"))
+    rows = hits.withColumnRenamed("query_id", "claim_id").join(c, "claim_id").join(w, "chunk_id")
+    rows = rows.withColumn("coverage", coverage(F.col("c_stems"), F.col("q_stems"))).withColumn("numbers_hit", numbers_match(F.col("c_numbers"), F.col("q_numbers")))
     ev = rows.select(
-        F.col("query_id").alias("claim_id"), "source_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), "chunk_id", "start_char", "end_char", "quote",
+        "claim_id", "source_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), "chunk_id", "start_char", "end_char", "quote",
         (F.col("rank") * 100000 + F.col("window_index")).cast("long").alias("candidate_id"),
-        *lexical_scores(F.col("claim"), F.col("quote")),
+        *lexical_scores(F.col("coverage"), F.col("numbers_hit")),
         F.lit(True).alias("provenance_verified"),
-        numbers_match(numbers(F.col("claim")), numbers(F.col("quote"))).alias("numeric_match"),
-        (coverage(content_stems(F.col("claim")), content_stems(F.col("quote"))) >= RELEVANT).alias("claim_relevant"),
+        F.col("numbers_hit").alias("numeric_match"),
+        (F.col("coverage") >= RELEVANT).alias("claim_relevant"),
     )
     d = policy.decide(ev, "claim_id", "source_id")
     none = F.col("verdict").isNull()

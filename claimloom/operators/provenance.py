@@ -10,14 +10,17 @@ from claimloom.functions.text import strip
 def occurrences(text: Column, quote: Column, lo: Column | None = None, hi: Column | None = None) -> Column:
     """0-based starts of every occurrence, overlapping ones included, case counting, within [lo, hi) if given.
 
-    Null for a null text or quote; empty for a blank quote. Each occurrence is found by ``locate`` from the one before.
+    Null for a null text or quote; empty for a blank quote. Occurrences are counted first; each is then located from the one
+    before, so the work follows the number of occurrences, not the square of the text's length.
     """
     lo = F.lit(0) if lo is None else lo
     hi = F.length(text) if hi is None else hi
-    last = hi - F.length(quote)
-    # Candidates: ends of the pieces that the quote's first character splits off.
-    starts = F.filter(F.sequence(lo, F.greatest(lo, last)), lambda i: (i <= last) & (F.substring(text, i + 1, F.length(quote)) == quote))
-    return F.when(text.isNull() | quote.isNull(), F.lit(None)).when((strip(quote) == "") | ~F.contains(text, quote), F.array().cast("array<int>")).otherwise(starts)
+    literal = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    n = F.regexp_count(text, literal)
+    step = lambda acc, _: F.concat(acc, F.array(F.call_function("locate", quote, text, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + 2) - 1))
+    every = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.array().cast("array<int>"), step)
+    inside = F.filter(every, lambda i: (i >= lo) & (i + F.length(quote) <= hi))
+    return F.when(text.isNull() | quote.isNull(), F.lit(None)).when((strip(quote) == "") | ~F.contains(text, quote), F.array().cast("array<int>")).otherwise(inside)
 
 
 def verify_quote(text: Column, quote: Column, unique: bool = True) -> Column:

@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from claimloom.functions.identifiers import has_credentials, normalize_doi, unquoted
-from claimloom.functions.text import compared, strip
+from claimloom.functions.text import comparable, compared, strip
 from claimloom.operators.nested import as_list, parse_records
 
 #: A registry record: doi, title, authors, years, publisher, container_title, url, full_text_urls, registry.
@@ -63,11 +64,12 @@ def registry_table(records: DataFrame, key: str = "record_id") -> DataFrame:
     return ok.groupBy("doi").agg(F.max_by(F.struct(*cols), F.col(key)).alias("r")).select("doi", "r.*")
 
 
-def author_match(given: Column, registered: Column) -> Column:
-    """The registered family name occurs in the given name, whose other parts are names or initials of the registered one."""
-    turned = F.when(F.contains(registered, F.lit(",")), F.concat(F.regexp_extract(registered, r"^[^,]*,([\s\S]*)$", 1), F.lit(" "), F.regexp_extract(registered, r"^([^,]*),", 1))).otherwise(registered)
-    parts = lambda c: F.filter(F.split(compared(c), " "), lambda t: t != "")
-    return _names_match(parts(given), parts(turned))
+def author_match(df: DataFrame, given: str, registered: str, out: str = "is_match") -> DataFrame:
+    """``df`` with ``out``: the registered family name occurs in the given name, whose other parts are names or initials of the
+    registered one. A null or blank side matches nothing."""
+    d = _with_names(_with_names(df.withColumn("_g", F.array(F.coalesce(F.col(given), F.lit("")))).withColumn("authors", F.array(F.coalesce(F.col(registered), F.lit("")))), "_g", "_a"), "authors", "_b")
+    none = F.array().cast("array<string>")
+    return d.withColumn(out, _names_match(F.coalesce(F.get("_a", F.lit(0)), none), F.coalesce(F.get("_b", F.lit(0)), none))).drop("_g", "_a", "_b", "authors")
 
 
 def _names_match(a: Column, b: Column) -> Column:
@@ -82,8 +84,6 @@ def _with_names(df: DataFrame, column: str, out: str) -> DataFrame:
     """``out``: name parts of each author. Names are brought to comparable form as one string, in one pass of the UDF."""
     turned = F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda r: F.when(F.contains(r, F.lit(",")), F.concat(F.regexp_extract(r, r"^[^,]*,([\s\S]*)$", 1), F.lit(" "), F.regexp_extract(r, r"^([^,]*),", 1))).otherwise(r))
     kind = turned if column == "authors" else F.coalesce(F.col(column), F.array().cast("array<string>"))
-    from claimloom.functions.text import comparable
-
     one = comparable(F.array_join(F.transform(kind, lambda n: F.translate(n, "\n", " ")), "\n"))
     return df.withColumn(out, F.transform(F.filter(F.split(one, "\n"), lambda n: n != ""), lambda n: F.regexp_extract_all(n, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
 
@@ -213,7 +213,7 @@ def candidate_urls(full_text: Column, url: Column, doi: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(every, lambda u: u.isNotNull())), 1, ADDRESSES)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two titles in comparable form (matching blocks, not edit distance); 0 without an actual title."""
     return pd.Series([SequenceMatcher(None, x or "", y).ratio() if y else 0.0 for x, y in zip(a, b)])

@@ -68,7 +68,7 @@ def integrity(rows: DataFrame, key: str, text: str = "text", stated: str = "cont
 def page_sidecar(pages: DataFrame, doc: str = "paper_id") -> DataFrame:
     """(doc, n_pages, blank_pages, bad_number, bad_span, valid) of stored page spans: numbers run from 1 without a gap, spans
     are in bounds and don't overlap. An invalid set counts as a cache miss."""
-    w = Window.partitionBy(doc).orderBy("page_number", "start_char")
+    w = Window.partitionBy(doc).orderBy("page_number", "start_char", "end_char")
     p = pages.withColumn("_k", F.row_number().over(w)).withColumn("_end", F.lag("end_char").over(w))
     bad_span = ~F.coalesce((F.col("start_char") >= 0) & (F.col("end_char") >= F.col("start_char")) & (F.col("start_char") >= F.coalesce("_end", F.lit(0))), F.lit(False))
     g = p.groupBy(doc).agg(F.count("*").alias("n_pages"), F.count_if(F.col("start_char") == F.col("end_char")).alias("blank_pages"), F.count_if(~F.coalesce(F.col("page_number") == F.col("_k"), F.lit(False))).alias("bad_number"), F.count_if(bad_span).alias("bad_span"))

@@ -52,6 +52,7 @@ BASE = _base_table()
 TO_LATIN = str.maketrans({k: v for m in SCRIPTS.values() for k, v in m.items()})
 FROM_LATIN = {s: str.maketrans({v: k for k, v in m.items()}) for s, m in SCRIPTS.items()}
 _ALIKE = re.compile("[" + "".join(k for m in SCRIPTS.values() for k in m) + "]")
+_OTHER_SCRIPT = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 _LATIN_ALIKE = {s: frozenset(m.values()) for s, m in SCRIPTS.items()}
@@ -111,10 +112,7 @@ def candidates(text: str) -> tuple[str, list[tuple[str, str]]]:
     """(skeleton of the text, [(skeleton token, repaired token)] for every token that holds a look-alike
     letter or whose dominant script isn't Latin)."""
     shape = skeleton(text)
-    if text.isascii() or (shape.isascii() and shape == base(text)):
-        return shape, []
-    held = _ALIKE.search(unicodedata.normalize("NFD", text)) is not None
-    if not held and shape == base(text):
+    if text.isascii() or (shape == base(text) and not _OTHER_SCRIPT.search(shape)):
         return shape, []
     whole = dominant(shape)
     out = {}
@@ -165,14 +163,14 @@ def _shape_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in pdf["text"]:
             shape, cand = candidates(t)
             raw.append(_h(t))
-            shapes.append(None if shape == t else shape)
+            shapes.append(None if shape == t and not cand else shape)
             toks.append([{"tok": a, "cand": b} for a, b in cand])
         yield pd.DataFrame({"tab": pdf["tab"], "key": pdf["key"], "raw": raw, "shape": shapes, "toks": toks, "same": [_h(t) if s is None else b"" for t, s in zip(pdf["text"], shapes)]})
 
 
 def shapes(texts: DataFrame) -> DataFrame:
     """(tab, key, raw, shape, toks, same) of ``texts`` (tab, key, text); null texts are left out.
-    ``shape`` is null where the text is its own skeleton (``same`` then is the hash of the text)."""
+    ``shape`` is null where the text is its own skeleton and has no token to look up (``same`` then is the hash of the text)."""
     schema = "tab string, key long, raw binary, shape string, toks array<struct<tok:string,cand:string>>, same binary"
     return texts.select("tab", "key", "text").where("text is not null").mapInPandas(_shape_batches, schema)
 

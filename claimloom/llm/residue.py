@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Documents the classifier is fitted on: a bounded sample (all of a smaller corpus), drawn by a hash of the key.
 SAMPLE_DOCS = 5000
-ROUNDS, PRIOR, MIN_COUNT, ALPHA = 8, 0.05, 2, 0.5
+ROUNDS, MIN_COUNT, ALPHA = 8, 2, 0.5
+#: Log odds that count as undecided: what isn't trusted needs this much more evidence than an even chance, in fitting as in
+#: marking, so that the positive class can't drift to a common kind of real passage.
+MARGIN = 4.0
 
 # -- units and passages of a document in typesetting markup --------------------------------------------------------
 
@@ -114,7 +117,7 @@ TRUSTED = [
     r"(?:(\w{2,8}(?: \w{2,8})?)[ .,]+)(?:\1[ .,]*){4,}",
     r"[^\d\\$]{0,80}\b(?:enable|enabled|disabled|activate|activ\w+|aktivier\w+)\b[^\d\\$]{0,40}\bjavascript\b[^\d\\$]{0,120}|javascript is (?:disabled|required|off)\b[^\d\\$]{0,120}",
     r"(?:HTTP(?:/[\d.]+)?|Error|Fehler|Erreur|Error:?) ?\d{3}\b[^\\$\n]{0,160}",
-    r"(?:\d{3} )?(?:page not found|access denied|service unavailable|internal (?:server )?error|bad gateway|forbidden)\b[^\\$]{0,160}",
+    r"(?:\d{3} )?(?:(?:page )?not found|access denied|service unavailable|internal (?:server )?error|bad gateway|forbidden)\b[^\\$]{0,160}",
     r"[\w.]+(?:Exception|Error): [^\\$]{0,400}",
     r"placeholder (?:for|text)\b[^\d\\$]{0,60}",
 ]
@@ -136,7 +139,7 @@ def trusted(passage: str) -> bool:
 # -- the classifier -------------------------------------------------------------------------------------------------------------------
 
 
-def fit(passages: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[dict[str, float], float]:
+def fit(passages: list[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
     """(weight of each feature, bias): log odds for residue. Passages are the sample; labels come from ``trusted``."""
     bags = [Counter(features(p)) for p in passages]
     sure = [trusted(p) for p in passages]
@@ -145,7 +148,8 @@ def fit(passages: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> tupl
     bags = [{f: min(n, 4) for f, n in b.items() if f in kept} for b in bags]
     belief = [1.0 if s else 0.0 for s in sure]
     weights: dict[str, float] = {}
-    bias = math.log(prior / (1 - prior))
+    share = min(max(sum(sure) / max(1, len(sure)), 1e-3), 0.5)
+    bias = math.log(share / (1 - share)) - MARGIN
     for _ in range(rounds):
         pos: dict[str, float] = dict.fromkeys(kept, 0.0)
         neg: dict[str, float] = dict.fromkeys(kept, 0.0)
@@ -157,8 +161,6 @@ def fit(passages: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> tupl
                     neg[f] += (1 - p) * n
         tp, tn = sum(pos.values()) + ALPHA * len(kept), sum(neg.values()) + ALPHA * len(kept)
         weights = {f: math.log((pos[f] + ALPHA) / tp) - math.log((neg[f] + ALPHA) / tn) for f in kept}
-        share = min(max(sum(belief) / max(1, len(belief)), 1e-3), 0.5)
-        bias = math.log(share / (1 - share))
         fresh = [1.0 if s else 1 / (1 + math.exp(-max(-50.0, min(50.0, bias + sum(weights[f] * n for f, n in b.items()))))) for b, s in zip(bags, sure)]
         done = max((abs(a - b) for a, b in zip(fresh, belief)), default=0.0) < 1e-3
         belief = fresh

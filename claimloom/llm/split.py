@@ -42,13 +42,15 @@ def cuts(text: str) -> list[list[int]]:
     return [sections, ends(_PARAGRAPH), ends(_LINE), sentences, ends(_WORD)]
 
 
+def _whole(text: str, p: int) -> bool:
+    """A cut at ``p`` parts no character from its marks and no line end."""
+    ch = text[p] if p < len(text) else " "
+    return not (unicodedata.combining(ch) or ch in "\u200d\ufe0f" or text[p - 1] == "\u200d" or text[p - 1 : p + 1] == "\r\n")
+
+
 def _safe(text: str, at: int, least: int) -> int:
-    """The last place from ``at`` back to ``least`` that parts no character from its marks and no line end."""
-    for p in range(at, max(least, at - 64), -1):
-        ch = text[p] if p < len(text) else " "
-        if not (unicodedata.combining(ch) or ch in "‍️" or text[p - 1] == "‍" or text[p - 1 : p + 1] == "\r\n"):
-            return p
-    return at
+    """The last whole place from ``at`` back to ``least``; ``at`` if there is none near."""
+    return next((p for p in range(at, max(least, at - 64), -1) if _whole(text, p)), at)
 
 
 def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -99,7 +101,7 @@ def _overlap_start(text: str, natural: list[int], words: list[int], end: int, ov
         k = bisect.bisect_left(at, lo)
         if k < len(at) and at[k] < latest:
             return at[k]
-    return min(end, max(least, _safe(text, lo, least)))
+    return next((p for p in range(lo, min(end, lo + 64)) if _whole(text, p)), end)
 
 
 def _piece_batches(limit: int, overlap: int):

@@ -35,7 +35,7 @@ def document(r, bad=None, where="section"):
 
 
 NOT_CASES = [
-    "In the layout study, lorem ipsum passages were shown to 117 participants for 9.16 km. " + sentence(RNG), "Pages that ask readers to enable JavaScript made up 60.5\\% of the Verdal sample and were read by hand. " + sentence(RNG),
+    "In the layout study, lorem ipsum passages were shown to 117 participants for 9.16 km. " + sentence(RNG) + "\n\n" + real(RNG, 3), "Pages that ask readers to enable JavaScript made up 60.5\\% of the Verdal sample and were read by hand. " + sentence(RNG) + "\n\n" + real(RNG, 3),
     "\\section{A}\n\n% TODO: write this\n" + sentence(RNG), "\\section{A}\n\n\\input{sections/a}\n\n\\section{B}\n" + real(RNG, 3), sentence(RNG), "\\section{A}\n\n\\begin{equation}\nx = 1\n\\end{equation}", "\\section{A}\n\\begin{tabular}{l}\nVerdal & 1.2\\\\\n\\end{tabular}", "", "   ", None,
 ]
 
@@ -47,7 +47,7 @@ def corpus():
         bad = BAD[d % len(BAD)] if d % 4 == 0 else None
         text = document(r, bad, ("section", "abstract", "whole")[d // 4 % 3])
         if not bad and d % 5 == 0:  # articles that write about such wording
-            text = text.replace("\\section{Results}", NOT_CASES[d // 5 % 2].rpartition(". ")[0] + ".\n\n\\section{Results}")
+            text = text.replace("\\section{Results}", NOT_CASES[d // 5 % 2].rpartition(". ")[0].replace("117", str(d)).replace("60.5", f"{d / 7:.1f}") + ". " + sentence(r) + "\n\n\\section{Results}")
         rows.append((d, text))
         if bad:
             truth.add(d)

@@ -1,5 +1,23 @@
 """SQL that checks the queries here, where SQL can express them over whole tables."""
 
-SQL: dict[str, str] = {
-    "p4_found": "SELECT id FROM chunks WHERE length(text) > 4000",
-}
+from __future__ import annotations
+
+SQL: dict[str, str] = {}
+
+SQL["p4_found"] = "SELECT id FROM chunks WHERE length(text) > 4000"
+
+# Words as in the operator: commands with keys, environments and other commands match without a word and fall out.
+_MARKUP = "\\\\[a-z]*(?:cite|ref|label)[a-z]*\\*?\\s*(?:\\[[^\\]]*\\]\\s*)*\\{[^}]*\\}|\\\\(?:begin|end)\\s*\\{[^}]*\\}(?:\\[[^\\]]*\\])?|\\\\[a-z@]+\\*?"
+_WORD = "[\\p{L}\\p{N}]+(?:[.''’\\-][\\p{L}\\p{N}]+)*"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(regexp_extract_all(replace(lower({x}), 'ß', 'ss'), '{_MARKUP}|({_WORD})', 1), lambda w: w <> '')"
+
+
+def _windows(table: str, key: str) -> str:
+    """Every 20 consecutive words of each text."""
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 18)) AS i FROM (SELECT {key}, {_words('text')} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 20)"
+
+
+SQL["p7_found"] = f"WITH d AS ({_windows('documents', 'doc_id')}), e AS ({_windows('eval_items', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)"

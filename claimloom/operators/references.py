@@ -24,6 +24,11 @@ def _v(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in path.split(".")), kind)
 
 
+def _plain(v: Column) -> Column:
+    """The text of a value that is text; an object isn't (its cast would be its JSON)."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
 def _joined(v: Column) -> Column:
     """Text of a field that is a string or a list of strings."""
     return F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), " "), F.try_variant_get(v, "$", "string"))
@@ -33,18 +38,18 @@ def registry_records(rows: DataFrame, key: str = "record_id", payload: str = "pa
     """(key, *RECORD) from stored registry answers, both dialects; unreadable payloads are left out."""
     r = parse_records(parse_records(rows, payload, "message", "_a"), payload, "data", "_b")
     attributes = _v(F.col("_b"), "attributes")
-    a = r.where(F.col("_a").isNotNull()).select(key, F.col("_a").alias("w"), attributes.alias("d"), F.col("registry"))
+    a = r.where(F.startswith(F.schema_of_variant("_a"), F.lit("OBJECT"))).select(key, F.col("_a").alias("w"), attributes.alias("d"), F.col("registry"))
     w, d = F.col("w"), F.col("d")
     person = lambda x: F.coalesce(
         F.nullif(F.array_join(F.filter(F.array(_v(x, "given", "string"), _v(x, "family", "string")), lambda p: F.coalesce(p, F.lit("")) != ""), " "), F.lit("")),
-        _v(x, "name", "string"), F.try_variant_get(x, "$", "string"))
+        _v(x, "name", "string"), _plain(x))
     creator = lambda x: F.coalesce(_v(x, "name", "string"), F.nullif(F.array_join(F.filter(F.array(_v(x, "givenName", "string"), _v(x, "familyName", "string")), lambda p: p.isNotNull()), " "), F.lit("")))
     real = lambda xs, f: F.filter(F.transform(F.filter(xs, lambda x: x.isNotNull() & ~F.is_variant_null(x)), f), lambda s: F.coalesce(s, F.lit("")) != "")
     year = lambda x: F.coalesce(F.try_variant_get(x, "$[0]", "string"), F.try_variant_get(x, "$", "string"))
     none = F.array().cast("array<string>")
     dates = F.concat(*[F.coalesce(F.transform(as_list(_v(w, f"{f}.date-parts")), year), none) for f in DATE_FIELDS])
     years = F.array_sort(F.array_distinct(F.filter(dates, lambda y: F.coalesce(y, F.lit("")).rlike("^[0-9]{4}$"))))
-    links = F.coalesce(real(as_list(_v(w, "link")), lambda x: F.coalesce(_v(x, "URL", "string"), F.try_variant_get(x, "$", "string"))), none)
+    links = F.coalesce(real(as_list(_v(w, "link")), lambda x: F.coalesce(_v(x, "URL", "string"), _plain(x))), none)
     crossref = F.struct(
         F.lower(F.coalesce(_v(w, "DOI", "string"), F.lit(""))).alias("doi"), F.coalesce(_joined(_v(w, "title")), F.lit("")).alias("title"),
         F.coalesce(real(as_list(_v(w, "author")), person), none).alias("authors"), years.alias("years"), F.coalesce(_v(w, "publisher", "string"), F.lit("")).alias("publisher"),

@@ -272,3 +272,26 @@ SELECT record_id, 'author' AS child, path FROM au UNION ALL SELECT record_id, 'a
 UNION ALL SELECT record_id, 'link', path FROM li WHERE json_type(x) = 'VARCHAR' OR coalesce(trim(x->>'URL'), '') <> '' UNION ALL SELECT record_id, 'update', path FROM up UNION ALL SELECT record_id, 'published', path FROM pu WHERE try_cast(p[1] AS INT) IS NOT NULL"""
 SQL["p2_dates"] = f"{_works()} SELECT record_id, path, try_cast(p[1] AS INT) AS year, try_cast(p[2] AS INT) AS month, try_cast(p[3] AS INT) AS day FROM pu WHERE try_cast(p[1] AS INT) IS NOT NULL"
 SQL["p2_authors"] = f"{_works()} SELECT record_id, path, string_split(path, '/')[1]::INT AS ordinal, x->>'given' AS given, x->>'family' AS family, CASE WHEN json_type(x) = 'VARCHAR' THEN nullif(trim(x->>'$'), '') ELSE nullif(trim(x->>'name'), '') END AS name, x->>'ORCID' AS orcid FROM au"
+
+
+def _list(x: str) -> str:
+    return f"CASE WHEN coalesce(json_type({x}), 'NULL') = 'NULL' THEN [] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
+
+
+def _registry() -> str:
+    """CTE r: the fields of each readable record."""
+    s = "json_extract_string"
+    kept = lambda x: f"list_filter({x}, lambda e: coalesce(e, '') <> '')"
+    person = f"coalesce(nullif(concat_ws(' ', nullif({s}(e, '$.given'), ''), nullif({s}(e, '$.family'), '')), ''), {s}(e, '$.name'), CASE WHEN json_type(e) = 'VARCHAR' THEN {s}(e, '$') END)"
+    date = f"CASE WHEN json_type(e) = 'ARRAY' THEN {s}(e, '$[0]') ELSE {s}(e, '$') END"
+    years = " || ".join(f"list_transform({_list(f'json_extract(x, chr(36) || chr(46) || chr(34) || {f!r} || chr(34) || chr(46) || chr(34) || {chr(39)}date-parts{chr(39)} || chr(34))')}, lambda e: {date})" for f in ("published", "published-print", "published-online", "issued"))
+    text = lambda f: f"coalesce(array_to_string(list_transform({_list(f'json_extract(x, {f!r})')}, lambda e: {s}(e, '$')), ' '), '')"
+    return f"""{_works()},
+r AS (SELECT record_id, lower(coalesce({s}(x, '$.DOI'), '')) AS doi, {text('$.title')} AS title, {kept(f"list_transform(list_filter({_list('json_extract(x, $$$.author$$)')}, lambda e: coalesce(json_type(e), 'NULL') <> 'NULL'), lambda e: {person})")} AS authors,
+ list_sort(list_distinct(list_filter({years}, lambda y: regexp_full_match(coalesce(y, ''), '[0-9]{{4}}')))) AS years, coalesce({s}(x, '$.publisher'), '') AS publisher, {text('$.container-title')} AS container_title,
+ {kept(f"list_transform({_list('json_extract(x, $$$.link$$)')}, lambda e: coalesce({s}(e, '$.URL'), CASE WHEN json_type(e) = 'VARCHAR' THEN {s}(e, '$') END))")} AS links, coalesce({s}(x, '$.resource.primary.URL'), {s}(x, '$.URL')) AS url FROM w)"""
+
+
+SQL["registry_normalized"] = f"{_registry()} SELECT record_id, doi, title, array_to_string(authors, '; ') AS authors, array_to_string(years, ' ') AS years, publisher, container_title, len(links) AS n_links FROM r"
+SQL["candidate_urls"] = f"""{_registry()}, u AS (SELECT record_id, list_filter(links || [url, 'https://doi.org/' || doi], lambda v: v IS NOT NULL) AS l FROM r WHERE doi <> '')
+SELECT record_id, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i)[1:6], ' ') AS urls FROM u"""

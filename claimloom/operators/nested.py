@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from claimloom.session import cut
+
 #: Field names are schema, not data; payloads with more distinct array fields than this are refused.
 MAX_ARRAY_FIELDS = 10_000
 #: How often a record may be wrapped (text holding JSON, envelopes, lists of one) before it is given up.
@@ -165,7 +167,8 @@ def work_tables(df: DataFrame, key: str = "record_id", payload: str = "payload",
     Null and unreadable payloads give no rows, nor do dates without a year and links without a URL. Repeated
     records give their rows again, under their own key. ``infer`` adds to the known lists those found in the data.
     """
-    records = parse_records(df.select(key, payload), payload).where(F.col("record").isNotNull()).select(key, "record")
+    # Parsed once: the schema and every child table read the checkpoint instead of the text.
+    records = cut(parse_records(df.select(key, payload), payload).select(key, "record")).where(F.col("record").isNotNull())
     found = array_fields(merged_schema(records)) if infer else []
     paths = sorted({*WORK_LISTS, *(p for p in found if p in WORK_LISTS or any(p.startswith(w + ".") for w in WORK_LISTS))})
     t = child_tables(records, key, paths)

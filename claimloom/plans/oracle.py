@@ -295,3 +295,38 @@ r AS (SELECT record_id, lower(coalesce({s}(x, '$.DOI'), '')) AS doi, {text('$.ti
 SQL["registry_normalized"] = f"{_registry()} SELECT record_id, doi, title, array_to_string(authors, '; ') AS authors, array_to_string(years, ' ') AS years, publisher, container_title, len(links) AS n_links FROM r"
 SQL["candidate_urls"] = f"""{_registry()}, u AS (SELECT record_id, list_filter(links || [url, 'https://doi.org/' || doi], lambda v: v IS NOT NULL) AS l FROM r WHERE doi <> '')
 SELECT record_id, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i)[1:6], ' ') AS urls FROM u"""
+
+
+# -- reference identity -----------------------------------------------------------------------------------------------------------
+
+# The given tables name people and works in characters whose compatibility form is plain lower case.
+_compared = lambda x: f"array_to_string(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), ' ')"
+_name_parts = lambda x: f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
+_turned = lambda x: f"CASE WHEN contains({x}, ',') THEN regexp_extract({x}, '(?s)^[^,]*,(.*)$', 1) || ' ' || regexp_extract({x}, '^([^,]*),', 1) ELSE {x} END"
+
+
+def _same_person(a: str, b: str) -> str:
+    return f"len({a}) > 0 AND len({b}) > 0 AND list_contains({a}, {b}[-1]) AND len(list_filter({a}, lambda t: t <> {b}[-1] AND len(list_filter({b}[1:-2], lambda z: z = t OR length(t) = 1 AND starts_with(z, t))) = 0)) = 0"
+
+
+_LATEST = f"""{_registry()}, g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY record_id DESC) AS k FROM r WHERE doi <> '' AND title <> '') WHERE k = 1),
+pa AS (SELECT *, CASE WHEN json_valid(authors_json) AND json_type(authors_json) = 'ARRAY' THEN from_json(authors_json, '["VARCHAR"]') END AS a FROM papers)"""
+SQL["author_match"] = f"""{_LATEST}, j AS (SELECT id, a[1] AS given, g.authors[1] AS registered FROM pa JOIN g ON lower(pa.doi) = g.doi WHERE a[1] IS NOT NULL AND g.authors[1] IS NOT NULL),
+n AS (SELECT *, {_name_parts('given')} AS x, {_name_parts(_turned('registered'))} AS y FROM j) SELECT id, given, registered, {_same_person('x', 'y')} AS is_match FROM n"""
+SQL["resolve_reference"] = f"""{_LATEST},
+q AS (SELECT id AS ref_id, CASE WHEN id % 3 = 0 THEN nullif({_strip('doi')}, '') END AS doi, CASE WHEN id % 3 < 2 THEN nullif({_strip('title')}, '') END AS title, CASE WHEN id % 3 < 2 AND len(a) > 0 THEN a END AS authors, CASE WHEN id % 3 < 2 THEN year::VARCHAR END AS year,
+ CASE WHEN id % 3 = 0 THEN nullif({_strip('venue')}, '') END AS container_title, CASE WHEN id % 3 = 2 THEN nullif(concat_ws('. ', array_to_string(a, ', '), title, venue, year::VARCHAR), '') END AS citation FROM pa),
+v AS (SELECT *, {_doi('coalesce(doi, citation)')} AS q_doi, doi IS NULL AND title IS NULL AND citation IS NULL OR doi IS NOT NULL AND {_doi('doi')} IS NULL AS invalid, {_compared('title')} AS tc, {_compared('container_title')} AS cc, {_compared('citation')} AS zc,
+ list_transform(coalesce(authors, []), lambda n: {_name_parts('n')}) AS gn, regexp_extract_all(citation, '\\b((?:19|20)[0-9]{{2}})\\b', 1) AS zy FROM q),
+h AS (SELECT doi AS r_doi, title AS r_title, years, authors AS r_authors, container_title AS r_container, {_compared('title')} AS rt, {_compared('container_title')} AS rc, list_transform(authors, lambda n: {_name_parts(_turned('n'))}) AS rn FROM g),
+m AS (SELECT * FROM v JOIN h ON NOT invalid AND CASE WHEN q_doi IS NOT NULL THEN q_doi = r_doi WHEN title IS NOT NULL THEN tc = rt
+ ELSE rt <> '' AND contains(zc, rt) AND (len(zy) = 0 OR list_has_any(zy, years)) AND (zc = rt OR len(list_filter(rn, lambda n: list_contains(string_split(zc, ' '), n[-1]))) > 0) END),
+c AS (SELECT *, CASE WHEN title IS NOT NULL THEN CASE WHEN tc = rt THEN 'MATCH' ELSE 'MISMATCH' END END AS c_title, CASE WHEN year IS NOT NULL THEN CASE WHEN len(years) = 0 THEN 'UNKNOWN' WHEN list_contains(years, year) THEN 'MATCH' ELSE 'MISMATCH' END END AS c_year,
+ CASE WHEN container_title IS NOT NULL THEN CASE WHEN r_container = '' THEN 'UNKNOWN' WHEN cc = rc THEN 'MATCH' ELSE 'MISMATCH' END END AS c_container,
+ CASE WHEN authors IS NOT NULL THEN CASE WHEN len(r_authors) = 0 THEN 'UNKNOWN' WHEN len(list_filter(gn, lambda p: len(list_filter(rn, lambda o: {_same_person('p', 'o')})) = 0)) = 0 THEN 'MATCH' ELSE 'MISMATCH' END END AS c_authors FROM m),
+d AS (SELECT ref_id, r_doi, list_filter(['authors=' || c_authors, 'container_title=' || c_container, 'title=' || c_title, 'year=' || c_year], lambda s: s IS NOT NULL) AS l FROM c),
+e AS (SELECT *, len(list_filter(l, lambda s: ends_with(s, '=MISMATCH'))) > 0 AS bad FROM d),
+f AS (SELECT ref_id, count(*) AS n, count(*) FILTER (WHERE NOT bad) AS nc, arg_min(r_doi, r_doi) AS d1, arg_min(l, r_doi) AS l1, arg_min(r_doi, r_doi) FILTER (WHERE NOT bad) AS d2, arg_min(l, r_doi) FILTER (WHERE NOT bad) AS l2 FROM e GROUP BY ref_id),
+o AS (SELECT v.ref_id, invalid, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN d1 WHEN n > 1 AND nc = 1 THEN d2 END AS doi, CASE WHEN n = 1 THEN l1 WHEN n > 1 AND nc = 1 THEN l2 END AS l FROM v LEFT JOIN f ON f.ref_id = v.ref_id),
+s AS (SELECT *, CASE WHEN invalid THEN 'INVALID_INPUT' WHEN n = 0 THEN 'NOT_FOUND' WHEN doi IS NULL THEN 'AMBIGUOUS' WHEN contains(array_to_string(l, ' '), '=MISMATCH') THEN 'METADATA_MISMATCH' WHEN contains(array_to_string(l, ' '), '=UNKNOWN') THEN 'PARTIALLY_VERIFIED' ELSE 'VERIFIED' END AS status FROM o)
+SELECT ref_id, doi, CASE WHEN status = 'VERIFIED' THEN 'PASS' WHEN status IN ('METADATA_MISMATCH', 'PARTIALLY_VERIFIED') THEN 'WARN' WHEN status <> 'INVALID_INPUT' THEN 'ABSTAIN' END AS verdict, status, n AS n_matches, array_to_string(l, ' ') AS checks FROM s"""

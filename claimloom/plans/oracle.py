@@ -145,11 +145,11 @@ x AS (SELECT *, exp(c - m) AS xc, exp(e - m) AS xe, exp(n - m) AS xn FROM e)
 SELECT candidate_id, round(xc / (xc + xe + xn), 6) AS contradiction, round(xe / (xc + xe + xn), 6) AS entailment, round(xn / (xc + xe + xn), 6) AS neutral, CASE WHEN c = m THEN 'contradiction' WHEN e = m THEN 'entailment' ELSE 'neutral' END AS label FROM x"""
 
 
-def _decide(by: str) -> str:
+def _decide(by: str, source: str = "evidence_candidates") -> str:
     first = lambda what, keep, score: f"(list({what} ORDER BY r, -{score}, -b, st, ch, candidate_id) FILTER (WHERE {keep}))[1]"
     cols = lambda name, keep, score: ", ".join(f"{first(w, keep, score)} AS {name}_{w}" for w in ("candidate_id", "r", "ent", "con", "st"))
     return f"""c AS (SELECT {by}, candidate_id, coalesce(bm25_rank, 2147483647) AS r, coalesce(bm25_score, 0) AS b, coalesce(contradiction, 0) AS con, coalesce(entailment, 0) AS ent, coalesce(neutral, 0) AS neu,
- coalesce(start_char, 2147483647) AS st, coalesce(chunk_id, -1) AS ch, coalesce(provenance_verified, false) AS prov, coalesce(numeric_match, false) AS num, coalesce(claim_relevant, true) AS rel FROM evidence_candidates),
+ coalesce(start_char, 2147483647) AS st, coalesce(chunk_id, -1) AS ch, coalesce(provenance_verified, false) AS prov, coalesce(numeric_match, false) AS num, coalesce(claim_relevant, true) AS rel FROM {source}),
 f AS (SELECT *, ent >= 0.7 AND prov AS s, con >= 0.7 AND prov AND rel AS k, prov AND ent >= 0.5 AND ent > neu AND ent > con AS m FROM c),
 g AS (SELECT {by}, count(*) AS n_windows, count(*) FILTER (WHERE s) AS n_s, count(*) FILTER (WHERE k) AS n_k, max(ent) FILTER (WHERE s) AS max_s, max(con) FILTER (WHERE k) AS max_k,
  {cols('bs', 's', 'ent')}, {cols('bk', 'k', 'con')}, {first('candidate_id', 's AND num', 'ent')} AS sn, {first('candidate_id', 'm', 'ent')} AS bm, {first('candidate_id', 'm AND num', 'ent')} AS mn, {first('candidate_id', 'true', 'neu')} AS bn FROM f GROUP BY {by}),
@@ -330,3 +330,22 @@ f AS (SELECT ref_id, count(*) AS n, count(*) FILTER (WHERE NOT bad) AS nc, arg_m
 o AS (SELECT v.ref_id, invalid, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN d1 WHEN n > 1 AND nc = 1 THEN d2 END AS doi, CASE WHEN n = 1 THEN l1 WHEN n > 1 AND nc = 1 THEN l2 END AS l FROM v LEFT JOIN f ON f.ref_id = v.ref_id),
 s AS (SELECT *, CASE WHEN invalid THEN 'INVALID_INPUT' WHEN n = 0 THEN 'NOT_FOUND' WHEN doi IS NULL THEN 'AMBIGUOUS' WHEN contains(array_to_string(l, ' '), '=MISMATCH') THEN 'METADATA_MISMATCH' WHEN contains(array_to_string(l, ' '), '=UNKNOWN') THEN 'PARTIALLY_VERIFIED' ELSE 'VERIFIED' END AS status FROM o)
 SELECT ref_id, doi, CASE WHEN status = 'VERIFIED' THEN 'PASS' WHEN status IN ('METADATA_MISMATCH', 'PARTIALLY_VERIFIED') THEN 'WARN' WHEN status <> 'INVALID_INPUT' THEN 'ABSTAIN' END AS verdict, status, n AS n_matches, array_to_string(l, ' ') AS checks FROM s"""
+
+
+SQL["reference_claim_gate"] = f"""SELECT r.ref_id, r.status, CASE WHEN r.status = 'VERIFIED' THEN d.verdict ELSE 'ABSTAIN' END AS claim_verdict, CASE WHEN r.status = 'VERIFIED' THEN d.reason ELSE 'REFERENCE_UNVERIFIED' END AS claim_reason
+FROM ({SQL['resolve_reference']}) r LEFT JOIN (WITH {_decide('paper_id')} SELECT * FROM v) d ON d.paper_id = r.ref_id"""
+
+# The whole pipeline: retrieve, cut windows, score with the lexical stand-in, guard, decide.
+SQL["claim_verification"] = f"""WITH RECURSIVE {_chunks('chunks', 'id', 1600, 300)},
+t AS ({SQL['bm25_topk']}),
+qs AS (SELECT id, k, s, {_stems('body')} AS qs, {_numbers('body')} AS qn FROM s WHERE id IN (SELECT chunk_id FROM t)),
+cl AS (SELECT id, {_stems('claim_text')} AS cs, {_numbers('claim_text')} AS cn FROM claims WHERE claim_text IS NOT NULL),
+xs AS (SELECT t.query_id AS claim_id, t.source_id AS paper_id, rank * 100000 + k AS candidate_id, rank AS bm25_rank, score AS bm25_score, t.chunk_id, qs.s + coalesce(c.start_char, 0) AS start_char,
+ CASE WHEN len(cs) = 0 THEN 1.0::DOUBLE WHEN len(qs) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(cs, qs))::DOUBLE / len(cs) END AS cov, len(list_filter(cn, lambda z: NOT list_contains(qn, z))) = 0 AS hit
+ FROM t JOIN cl ON cl.id = t.query_id JOIN qs ON qs.id = t.chunk_id JOIN chunks c ON c.id = t.chunk_id),
+xe AS (SELECT *, round(cov * CASE WHEN hit THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END, 6) AS entailment, round(CASE WHEN hit THEN 0.05::DOUBLE ELSE 0.3::DOUBLE * cov END, 6) AS contradiction, true AS provenance_verified, hit AS numeric_match, cov >= 0.3 AS claim_relevant FROM xs),
+xc AS (SELECT *, round(1.0::DOUBLE - entailment - contradiction, 6) AS neutral FROM xe),
+dv AS (SELECT * FROM (WITH {_decide('claim_id, paper_id', 'xc')} SELECT * FROM v)),
+pr AS (SELECT DISTINCT e.claim_id, e.paper_id FROM evidence_candidates e JOIN claims c ON c.id = e.claim_id WHERE claim_text IS NOT NULL AND e.paper_id IS NOT NULL)
+SELECT pr.claim_id, pr.paper_id AS source_id, coalesce(verdict, 'ABSTAIN') AS verdict, coalesce(semantic_class, 'INSUFFICIENT_EVIDENCE') AS semantic_class, coalesce(reason, 'NO_LEXICAL_CANDIDATES') AS reason, coalesce(n_windows, 0) AS n_windows, 'lexical_stub' AS model
+FROM pr LEFT JOIN dv ON dv.claim_id = pr.claim_id AND dv.paper_id = pr.paper_id"""

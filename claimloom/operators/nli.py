@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from claimloom.operators.policy import softmax
 
@@ -58,9 +59,7 @@ def score(pairs: DataFrame, factory: Callable[[], tuple[BatchScorer, dict[int, s
                 pdf[f"_{name}"] = [r[i] for r in rows]
             yield pdf
 
-    schema = pairs.schema
-    for name in LABELS:
-        schema = schema.add(f"_{name}", "double")
+    schema = StructType([*pairs.schema.fields, *[StructField(f"_{name}", DoubleType()) for name in LABELS]])
     logits = pairs.mapInPandas(run, schema)
     s = softmax(*[F.col(f"_{n}") for n in LABELS])
     out = logits.withColumn("_s", s)

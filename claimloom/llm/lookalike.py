@@ -51,7 +51,6 @@ def _base_table() -> dict[int, str]:
 BASE = _base_table()
 TO_LATIN = str.maketrans({k: v for m in SCRIPTS.values() for k, v in m.items()})
 FROM_LATIN = {s: str.maketrans({v: k for k, v in m.items()}) for s, m in SCRIPTS.items()}
-_ALIKE = re.compile("[" + "".join(k for m in SCRIPTS.values() for k in m) + "]")
 _OTHER_SCRIPT = re.compile("[\u0370-\u058f\u1f00-\u1fff]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
@@ -70,13 +69,8 @@ def base(text: str) -> str:
 def skeleton(text: str) -> str:
     """``base`` with every look-alike letter in its Latin shape: equal exactly for texts that look the same."""
     text = base(text)
-    if text.isascii() or not _ALIKE.search(text):
-        # A precomposed letter may hide a look-alike base (Cyrillic letters with accents).
-        if text.isascii():
-            return text
-        loose = unicodedata.normalize("NFD", text)
-        if not _ALIKE.search(loose):
-            return text
+    if text.isascii() or not _OTHER_SCRIPT.search(text):
+        return text
     loose = unicodedata.normalize("NFD", text).translate(TO_LATIN)
     return unicodedata.normalize("NFC", loose)
 
@@ -112,7 +106,7 @@ def candidates(text: str) -> tuple[str, list[tuple[str, str]]]:
     """(skeleton of the text, [(skeleton token, repaired token)] for every token that holds a look-alike
     letter or whose dominant script isn't Latin)."""
     shape = skeleton(text)
-    if text.isascii() or (shape == base(text) and not _OTHER_SCRIPT.search(shape)):
+    if text.isascii() or not _OTHER_SCRIPT.search(text):
         return shape, []
     whole = dominant(shape)
     out = {}
@@ -217,8 +211,8 @@ def same_looking_pairs(forms: DataFrame) -> DataFrame:
     """(tab, key_a, key_b), key_a < key_b, for rows of one table with the same form and different texts.
 
     Only forms with at least two different texts take part. Rows of a form are matched through pairs of
-    *different texts* (class representatives), so exact copies are never paired with one another, and no
-    group is gathered in one task: the join key is (tab, form, text of the other side).
+    *different texts* (class representatives), so exact copies are never paired with one another. The join key is
+    (tab, form, text); joins stream, and adaptive execution splits a text that holds many of the rows.
     """
     forms = cut(forms.select("tab", "key", "raw", "form_hash"))
     variants = forms.groupBy("tab", "form_hash", "raw").agg(F.count("*").alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from claimloom.functions.identifiers import has_credentials, normalize_doi, unquoted
 from claimloom.functions.text import comparable, compared, strip
 from claimloom.operators.nested import as_list, parse_records
+from claimloom.session import cut
 
 #: A registry record: doi, title, authors, years, publisher, container_title, url, full_text_urls, registry.
 RECORD = ["doi", "title", "authors", "years", "publisher", "container_title", "url", "full_text_urls", "registry"]
@@ -152,7 +153,8 @@ def resolve(refs: DataFrame, registry: DataFrame, key: str = "ref_id") -> DataFr
     r = _with_names(r.withColumnRenamed("authors", "authors_given"), "authors_given", "g_names").withColumnRenamed("authors_given", "authors")
     for c in ("title", "publisher", "container_title", "citation"):
         r = r.withColumn(f"{c}_c", compared(F.col(c)))
-    p = prepared(registry)
+    # Both sides are read by three lookups: their Python-made forms are computed once.
+    r, p = cut(r), cut(prepared(registry))
     valid = r.where("violation is null")
     by_doi = valid.where("q_doi is not null").join(p, F.col("q_doi") == F.col("r_doi"), "left").withColumn("matched", F.col("r_doi").isNotNull())
     by_title = valid.where("q_doi is null and title is not null").join(p, F.col("title_c") == F.col("r_title_c"), "left").withColumn("matched", F.col("r_doi").isNotNull())

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,12 @@ from claimloom.session import cut
 
 #: Words a paragraph needs; tokens of a run; articles a run needs on its host, or on all hosts together.
 LEAST_WORDS, RUN, HOST_ARTICLES, ALL_ARTICLES = 8, 3, 4, 6
-#: Running text is learnt from a bounded sample of pages: its runs are never fixed text of a site.
-BODY_PAGES = 4000
 #: Wrappers up to so many runs in all are given to every task; beyond that they are joined by host.
 WRAPPER_RUNS = 2_000_000
+#: Tokens whose hashes a task remembers.
+KNOWN_TOKENS = 500_000
+#: Pages whose runs are in memory at once.
+PORTION = 250
 
 # Headings that begin or end what isn't body, without numbers and punctuation.
 ABSTRACTS = frozenset(["abstract", "summary", "zusammenfassung", "resumen", "résumé"])
@@ -151,16 +152,54 @@ def line_blocks(text: str) -> tuple[str, list[tuple[str, str]]]:
     return title, out
 
 
-def tokens(block: str) -> list[str]:
-    """Lower-case words and punctuation; numbers, host names and, after the first word, capitalised words by kind."""
-    found = _TOKENS.findall(block)
-    return ["#" if t[0].isdigit() else "@" if "." in t and len(t) > 3 else "N" if i and t[0].isupper() else t.lower() for i, t in enumerate(found)]
+def _kind(token: str, first: bool) -> str:
+    return "#" if token[0].isdigit() else "@" if "." in token and len(token) > 3 else "N" if not first and token[0].isupper() else token.lower()
 
 
-def runs(block: str) -> list[int]:
-    """Hashes of the token runs of a block, its two ends included."""
-    t = ["^", *tokens(block), "$"]
-    return [xxhash.xxh3_64_intdigest(" ".join(t[i : i + RUN])) >> 1 for i in range(len(t) - RUN + 1)]
+def tokens(block: str) -> list[str]:
+    """Lower-case words and punctuation; numbers, host names and, after the first word, capitalised words by kind."""
+    return [_kind(t, i == 0) for i, t in enumerate(_TOKENS.findall(block))]
+
+
+class _Hashes(dict):
+    """Hash of each token's kind, kept for words met again."""
+
+    def __init__(self, first: bool):
+        self.first = first
+
+    def __missing__(self, token: str) -> int:
+        value = xxhash.xxh3_64_intdigest(_kind(token, self.first))
+        if not token[0].isdigit():
+            if len(self) >= KNOWN_TOKENS:
+                self.clear()
+            self[token] = value
+        return value
+
+
+_FIRST, _LATER = _Hashes(True), _Hashes(False)
+_BEGIN, _END = xxhash.xxh3_64_intdigest("^"), xxhash.xxh3_64_intdigest("$")
+_MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def block_runs(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the token runs of all blocks, number of runs of each block); a block's two ends count as tokens."""
+    flat: list[int] = []
+    starts, count = np.zeros(len(blocks), dtype=np.int64), np.zeros(len(blocks), dtype=np.int64)
+    for i, block in enumerate(blocks):
+        found = _TOKENS.findall(block)
+        if found:
+            starts[i], count[i] = len(flat), max(0, len(found) + 3 - RUN)
+            flat += (_BEGIN, _FIRST[found[0]], *map(_LATER.__getitem__, found[1:]), _END)
+    total = int(count.sum())
+    if not total:
+        return np.empty(0, dtype=np.int64), count
+    t = np.array(flat, dtype=np.uint64)
+    h = np.zeros(len(t) - RUN + 1, dtype=np.uint64)
+    for i in range(RUN):
+        h = (h ^ (t[i : i + len(h)] * _MIX[i % 3])) * _MIX[(i + 1) % 3]
+        h ^= h >> np.uint64(31)
+    inside = np.arange(total) + np.repeat(starts - np.cumsum(count) + count, count)
+    return (h[inside] >> np.uint64(1)).astype(np.int64), count
 
 
 def running(block: str) -> bool:
@@ -181,73 +220,96 @@ def _page_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             title, blocks = _blocks_of(kind, data if kind == "resource" else text, ctype)
             blocks = [(p, b) for p, b in blocks if p != "none" and len(b.split()) >= 4]
             if blocks:
-                rows.append((kind, key, host, xxhash.xxh3_64_intdigest(title or str(key)) & 63, [p == "body" for p, _ in blocks], [b for _, b in blocks]))
-        yield pd.DataFrame(rows, columns=["kind", "page_key", "host", "article", "inside", "blocks"])
+                rows.append((kind, key, host, xxhash.xxh3_64_intdigest(title or str(key)) & 63, [p == "body" for p, _ in blocks], [p == "body" and running(b) for p, b in blocks], [b for _, b in blocks]))
+        yield pd.DataFrame(rows, columns=["kind", "page_key", "host", "article", "inside", "running", "blocks"])
+
+
+def _portions(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in portions of pages, so that the arrays of runs stay small."""
+    for at in range(0, len(pdf), PORTION):
+        yield pdf.iloc[at : at + PORTION]
+
+
+def _merged(host: np.ndarray, run: np.ndarray, articles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per host and run, its article bits combined."""
+    if not len(run):
+        return host, run, articles
+    order = np.lexsort((run, host))
+    host, run, articles = host[order], run[order], articles[order]
+    first = np.flatnonzero(np.r_[True, (host[1:] != host[:-1]) | (run[1:] != run[:-1])])
+    return host[first], run[first], np.bitwise_or.reduceat(articles, first)
 
 
 def _run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        seen: dict[tuple[str, int], int] = {}
-        for host, article, inside, blocks in zip(pdf["host"], pdf["article"], pdf["inside"], pdf["blocks"]):
-            bit = 1 << int(article)
-            if bit >= 1 << 63:
-                bit -= 1 << 64
-            for b, x in zip(inside, blocks):
-                if not (b and running(x)):
-                    for r in runs(x):
-                        seen[host, r] = seen.get((host, r), 0) | bit
-        yield pd.DataFrame([(h, r, a) for (h, r), a in seen.items()], columns=["host", "run", "articles"])
+        codes, hosts = pd.factorize(pdf["host"].to_numpy(dtype=object))
+        pdf = pdf.assign(code=codes)
+        parts = []
+        for part in _portions(pdf):
+            texts, code, article = [], [], []
+            for c, a, flags, blocks in zip(part["code"], part["article"], part["running"], part["blocks"]):
+                chosen = [x for f, x in zip(flags, blocks) if not f]
+                texts += chosen
+                code += [c] * len(chosen)
+                article += [a] * len(chosen)
+            found, count = block_runs(texts)
+            bits = (np.uint64(1) << np.array(article, dtype=np.uint64)).view(np.int64)
+            parts.append(_merged(np.repeat(np.array(code, dtype=np.int64), count), found, np.repeat(bits, count)))
+        host, run, articles = _merged(*(np.concatenate(x) for x in zip(*parts))) if parts else ([], [], [])
+        yield pd.DataFrame({"host": pd.Series(hosts[host] if len(host) else [], dtype=object), "run": run, "articles": articles})
 
 
 def _body_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        count: Counter[int] = Counter()
-        for inside, blocks in zip(pdf["inside"], pdf["blocks"]):
-            count.update({r for b, x in zip(inside, blocks) if b and running(x) for r in runs(x)})
-        yield pd.DataFrame(list(count.items()), columns=["run", "pages"])
+        parts = [np.unique(block_runs([x for flags, blocks in zip(part["running"], part["blocks"]) for f, x in zip(flags, blocks) if f])[0]) for part in _portions(pdf)]
+        yield pd.DataFrame({"run": np.unique(np.concatenate(parts)) if parts else []})
+
+
+def _holds(fixed: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the runs found are fixed ones (sorted)."""
+    if not len(fixed):
+        return np.zeros(len(found), dtype=bool)
+    return fixed[np.minimum(np.searchsorted(fixed, found), len(fixed) - 1)] == found
 
 
 def _paragraph_batches(wrappers: dict[str, np.ndarray] | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[str, frozenset[int]] = {}
-        shared = frozenset(int(r) for r in wrappers.get("*", ())) if wrappers is not None else frozenset()
+        none = np.empty(0, dtype=np.int64)
+        own: dict[str, np.ndarray] = {}
+        shared = np.sort(wrappers.get("*", none)) if wrappers is not None else none
         for pdf in batches:
             rows = []
-            for i, (kind, key, host, inside, blocks) in enumerate(zip(pdf["kind"], pdf["page_key"], pdf["host"], pdf["inside"], pdf["blocks"])):
+            for i, (kind, key, host, inside, flags, blocks) in enumerate(zip(pdf["kind"], pdf["page_key"], pdf["host"], pdf["inside"], pdf["running"], pdf["blocks"])):
                 if host not in own:
-                    fixed = wrappers.get(host, ()) if wrappers is not None else pdf["fixed"].iloc[i]
-                    own[host] = frozenset(int(r) for r in fixed) | (shared if wrappers is not None else frozenset())
-                fixed, done = own[host], set()
-                for b, x in zip(inside, blocks):
-                    if b and x not in done and len(x.split()) >= LEAST_WORDS and _CLOSED.search(x) and (running(x) or fixed.isdisjoint(runs(x))):
-                        done.add(x)
-                        rows.append((kind, key, x))
+                    own[host] = np.sort(np.asarray(wrappers.get(host, none) if wrappers is not None else pdf["fixed"].iloc[i], dtype=np.int64))
+                chosen = [(f, x) for b, f, x in dict.fromkeys(zip(inside, flags, blocks)) if b and len(x.split()) >= LEAST_WORDS and _CLOSED.search(x)]
+                found, count = block_runs([x for f, x in chosen if not f])
+                hit = np.r_[0, np.cumsum(_holds(own[host], found) | _holds(shared, found))]
+                site = iter(np.diff(hit[np.r_[0, np.cumsum(count)]]) > 0)
+                rows += [(kind, key, x) for f, x in chosen if f or not next(site)]
             yield pd.DataFrame(rows, columns=["kind", "page_key", "paragraph"])
 
     return run
 
 
 def pages(resources: DataFrame, sources: DataFrame) -> DataFrame:
-    """(kind, page_key, host, article, inside, blocks) of every page with blocks: resources whose answer is a page
+    """(kind, page_key, host, article, inside, running, blocks) of every page with blocks: resources whose answer is a page
     (status 200, or none stated) and sources of the types html_url and doi_html. Null, empty and blank
     pages give no row."""
     host = lambda url: F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
     r = resources.where("data is not null and coalesce(status, 200) = 200").select(F.lit("resource").alias("kind"), F.col("resource_id").cast("long").alias("page_key"), host(F.col("url")).alias("host"), "data", F.lit(None).cast("string").alias("text"), "content_type")
     s = sources.where("text is not null and source_type in ('html_url', 'doi_html')").select(F.lit("source").alias("kind"), F.col("source_id").cast("long").alias("page_key"), host(F.col("canonical_url")).alias("host"), F.lit(None).cast("binary").alias("data"), "text", F.lit(None).cast("string").alias("content_type"))
-    return r.unionByName(s).mapInPandas(_page_batches, "kind string, page_key long, host string, article int, inside array<boolean>, blocks array<string>")
+    return r.unionByName(s).mapInPandas(_page_batches, "kind string, page_key long, host string, article int, inside array<boolean>, running array<boolean>, blocks array<string>")
 
 
 def wrapper_runs(blocks: DataFrame) -> DataFrame:
     """(host, run): the fixed runs of each host's wrapper; host ``*`` has those of all hosts together.
 
     A run is fixed on a host if enough different articles have it outside running text, on that host or on all hosts together (sites
-    share platforms), and the running text of the sample hasn't.
+    share platforms), and no running text of any page has.
     Articles are counted by the bits of a 64-bit map (of their titles' hash), which is all that is shuffled for a run.
     """
-    total = blocks.count()
-    parts = 1 << 20
-    sample = blocks if total <= BODY_PAGES else blocks.where(F.pmod(F.xxhash64("kind", "page_key"), F.lit(parts)) < parts * BODY_PAGES // total)
-    body = sample.mapInPandas(_body_batches, "run long, pages long").groupBy("run").agg(F.sum("pages").alias("pages")).where("pages > 0").select("run")
+    body = blocks.mapInPandas(_body_batches, "run long")
     seen = blocks.mapInPandas(_run_batches, "host string, run long, articles long").groupBy("host", "run").agg(F.bit_or("articles").alias("articles"))
     own = seen.where(F.bit_count("articles") >= HOST_ARTICLES).select("host", "run")
     shared = seen.groupBy("run").agg(F.bit_or("articles").alias("articles")).where(F.bit_count("articles") >= ALL_ARTICLES).select(F.lit("*").alias("host"), "run")

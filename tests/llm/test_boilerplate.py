@@ -71,6 +71,29 @@ def test_bodies(spark, monkeypatch):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_running_text_of_every_page_counts(spark):
+    """More pages than running text was once learnt from; each wording stands in the running text of one page only."""
+    words = [a + b for a in "ka lo mi nu pe ra so tu".split() for b in "ben dar fil gom".split()]
+    short = [f"The {w} rises when {x} cools below the {y} of the basin." for w, x, y in zip(words, words[1:] + words[:1], words[2:] + words[:2])]
+    rows, want = [], set()
+    for i in range(6000):
+        x = short[i % len(short)]
+        body = [f"{x} It is so. {x}", x] if i < len(short) else [x] if i < 8 * len(short) else []
+        want |= {("source", i, b) for b in body}
+        rows.append((i, "https://one.example/p", "\n".join([f"Title {i} of a page", "A. Author", "Abstract", "We study this.", "Introduction", *body, "We went there and it rained. It went on. We left."]), "html_url"))
+        want.add(("source", i, "We went there and it rained. It went on. We left."))
+    none = spark.createDataFrame([], "resource_id long, url string, data binary, content_type string, status int")
+    got = B.paragraphs(none, spark.createDataFrame(rows, "source_id long, canonical_url string, text string, source_type string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_runs_follow_tokens():
+    a, b = "It is 3.5 mm at www.x.com, Tom said.", "It is 9 mm at www.why.com, Ann said."
+    found, count = B.block_runs([a, "", "Hello", b])
+    assert list(count) == [len(B.tokens(x)) for x in (a, "", "Hello", b)] and len(found) == count.sum()
+    assert B.tokens(a) == B.tokens(b) and (found[: count[0]] == found[-count[3] :]).all() and len(set(found[: count[0]])) == count[0]
+
+
 def test_empty(spark):
     rd, sd, _ = tables(spark, 2)
     assert B.paragraphs(rd.limit(0), sd.limit(0)).count() == 0

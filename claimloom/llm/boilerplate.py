@@ -1,11 +1,11 @@
 """Problem 3: the main body of web pages, without menus, notices, teasers and footers.
 
-Method: wrapper induction without unions. Pages of one host are read as streams of blocks, and blocks as streams of tokens.
-Streams of different articles are aligned at the token runs they share: a shared run is fixed text of the wrapper,
-what differs between fixed runs is a text slot, a block that only some pages have is optional, and the blocks whose
-patterns repeat within a page (the running text) are the repeated group. Alignment goes through counted runs instead of
-pairwise dynamic programming, so that it takes all pages of a host, is linear and needs no page beside another one. The
-body is the repeated group between title and references, less the blocks that hold fixed runs of the wrapper.
+Method: counts of shared token runs, in place of the wrapper induction by alignment that was asked for. Nothing is aligned,
+and no wrapper expression (slots, optional blocks, a repeated group) is built. Markup and headings give the region between
+title and references. Token runs that enough different articles have outside running text, and that no running text has,
+are fixed text of a site; a block of the region that holds one is left out. Blocks of three or more sentences are running
+text and stay, so a notice of the site of that length within the region is kept. Counting takes all pages of a host, is
+linear and needs no page beside another one.
 """
 
 from __future__ import annotations

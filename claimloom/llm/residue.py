@@ -178,7 +178,7 @@ def residue_units(text: str, weights: dict[str, float], bias: float) -> list[str
     """Kinds of the units that are residue altogether: ``abstract``, ``section``, or ``whole`` for a text without either."""
     found = [(kind, passages) for kind, passages in units(text) if passages]
     inner = any(kind != "front" for kind, _ in found)
-    return ["whole" if kind == "front" else kind for kind, passages in found if not (kind == "front" and inner) and all(not display(p) and score(p, weights, bias) > 0 for p in passages)]
+    return ["whole" if kind == "front" else kind for kind, passages in found if not (kind == "front" and inner) and all(not display(p) and (score(p, weights, bias) > 0 or trusted(p)) for p in passages)]
 
 
 def _passage_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -90,3 +90,14 @@ def test_empty_and_long(spark):
     assert residue.marked(df).count() == 0
     one = spark.createDataFrame([(1, None), (2, ""), (3, "Some plain words. " * 50_000)], "doc_id long, text string")
     assert [r["is_residue"] for r in residue.marked(one).orderBy("doc_id").collect()] == [False, False, False]
+
+
+def test_trusted_passages_beyond_the_sample(spark):
+    """Trusted passages are residue whatever a fit says that never saw them."""
+    real = "We measured the yield of sample {0} in 19{0} and found that the Tolorin value of $x_{0}$ fell by {0} percent, as \\cite{{a}} states."
+    rows = [(i, "\\section{A}\n" + real.format(i) + "\n\\section{B}\n" + real.format(i + 1000)) for i in range(300)]
+    bad = ["\\Kant[3]", "\\blindtext", "FIXME", "[insert your text here]", "placeholder for text", "placeholder for figure"]
+    rows += [(1000 + i, f"\\section{{A}}\n{real.format(i)}\n\\section{{B}}\n{b}") for i, b in enumerate(bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sample in (1, 20, 1000):
+        assert {r[0] for r in residue.marked(df, sample).where("is_residue").collect()} == {1000 + i for i in range(len(bad))}

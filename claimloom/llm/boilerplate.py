@@ -1,32 +1,46 @@
 """Problem 3: the main body of web pages, without menus, notices, teasers and footers.
 
-Method: counts of shared token runs, in place of the wrapper induction by alignment that was asked for. Nothing is aligned,
-and no wrapper expression (slots, optional blocks, a repeated group) is built. Markup and headings give the region between
-title and references. Token runs that enough different articles have outside running text, and that no running text has,
-are fixed text of a site; a block of the region that holds one is left out. Blocks of three or more sentences are running
-text and stay, so a notice of the site of that length within the region is kept. Counting takes all pages of a host, is
-linear and needs no page beside another one.
+Method: union-free regular expressions inferred per host by iterative alignment. A page is a stream of blocks, a block a
+stream of tokens. (1) The streams of a host's pages are aligned at the token runs that enough of its articles share; runs that
+running text uses are language and align nothing. What lies between shared runs is a mismatch and becomes a text slot, so each
+block has an expression of fixed text and slots. (2) The expressions of a host are aligned with one another, one after the
+other: text that only some have becomes an optional group, text that differs becomes a slot, a unit that follows itself a
+repeated group. What results are the host's wrapper rows, each a regular expression without alternatives and a mark of how
+its block occurs in the page: ``?`` (on some pages) or ``*`` (several times on a page). (3) A page is read through the
+wrapper: a block that one of the expressions matches is the site's, all other blocks fall into the wrapper's text slots, and
+the slots between title and references are the body. Markup and headings give that region.
+
+All counts cover all pages, and what makes a run fixed is its share outside running text, so behaviour doesn't change with size.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from claimloom.operators.skew import lookup_join
 from claimloom.session import cut
 
-#: Words a paragraph needs; tokens of a run; articles a run needs on its host, or on all hosts together.
+#: Words a paragraph needs; tokens of a run; articles a run or expression needs on its host, or on the hosts together.
 LEAST_WORDS, RUN, HOST_ARTICLES, ALL_ARTICLES = 8, 3, 4, 6
-#: Wrappers up to so many runs in all are given to every task; beyond that they are joined by host.
-WRAPPER_RUNS = 2_000_000
-#: Tokens whose hashes a task remembers.
+#: A run is language, not template, if running text has it more often than this share of its occurrences elsewhere.
+LANGUAGE = 0.001
+#: Two expressions of one site text share at least this part of the longer one's fixed tokens.
+SAME = 0.5
+#: Runs and wrappers up to so many rows are given to every task; larger ones meet the pages host by host.
+SIDE_ROWS = 2_000_000
+#: A host is spread over more tasks when it has at least one page in so many.
+HOT = 1000
+#: Parts in which the expressions of one family are aligned before they meet.
+PARTS = 8
+#: Tokens whose codes a task remembers.
 KNOWN_TOKENS = 500_000
 #: Pages whose runs are in memory at once.
 PORTION = 250
@@ -161,14 +175,17 @@ def tokens(block: str) -> list[str]:
     return [_kind(t, i == 0) for i, t in enumerate(_TOKENS.findall(block))]
 
 
-class _Hashes(dict):
-    """Hash of each token's kind, kept for words met again."""
+BEGIN, END = 0, 1
+
+
+class _Codes(dict):
+    """Code of each token's kind, kept for words met again; codes 0 and 1 are a block's ends."""
 
     def __init__(self, first: bool):
         self.first = first
 
     def __missing__(self, token: str) -> int:
-        value = xxhash.xxh3_64_intdigest(_kind(token, self.first))
+        value = xxhash.xxh32_intdigest(_kind(token, self.first)) | 2
         if not token[0].isdigit():
             if len(self) >= KNOWN_TOKENS:
                 self.clear()
@@ -176,30 +193,33 @@ class _Hashes(dict):
         return value
 
 
-_FIRST, _LATER = _Hashes(True), _Hashes(False)
-_BEGIN, _END = xxhash.xxh3_64_intdigest("^"), xxhash.xxh3_64_intdigest("$")
+_FIRST, _LATER = _Codes(True), _Codes(False)
 _MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def block_runs(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the token runs of all blocks, number of runs of each block); a block's two ends count as tokens."""
+def codes(blocks: list[str]) -> np.ndarray:
+    """Token codes of the blocks one after the other, each between its two ends."""
     flat: list[int] = []
-    starts, count = np.zeros(len(blocks), dtype=np.int64), np.zeros(len(blocks), dtype=np.int64)
-    for i, block in enumerate(blocks):
+    for block in blocks:
         found = _TOKENS.findall(block)
+        flat.append(BEGIN)
         if found:
-            starts[i], count[i] = len(flat), max(0, len(found) + 3 - RUN)
-            flat += (_BEGIN, _FIRST[found[0]], *map(_LATER.__getitem__, found[1:]), _END)
-    total = int(count.sum())
-    if not total:
-        return np.empty(0, dtype=np.int64), count
-    t = np.array(flat, dtype=np.uint64)
-    h = np.zeros(len(t) - RUN + 1, dtype=np.uint64)
+            flat.append(_FIRST[found[0]])
+            flat += map(_LATER.__getitem__, found[1:])
+        flat.append(END)
+    return np.array(flat, dtype=np.uint32)
+
+
+def runs_of(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the RUN tokens from each position, which of them lie within one block); ends count as tokens."""
+    n = max(0, len(stream) - RUN + 1)
+    t, h, inside = stream.astype(np.uint64), np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
     for i in range(RUN):
-        h = (h ^ (t[i : i + len(h)] * _MIX[i % 3])) * _MIX[(i + 1) % 3]
+        h = (h ^ ((t[i : i + n] + np.uint64(1)) * _MIX[i % 3])) * _MIX[(i + 1) % 3]
         h ^= h >> np.uint64(31)
-    inside = np.arange(total) + np.repeat(starts - np.cumsum(count) + count, count)
-    return (h[inside] >> np.uint64(1)).astype(np.int64), count
+        if i < RUN - 1:
+            inside &= stream[i : i + n] != END
+    return (h >> np.uint64(1)).astype(np.int64), inside
 
 
 def running(block: str) -> bool:
@@ -213,6 +233,9 @@ def _blocks_of(kind: str, data: object, content_type: str | None) -> tuple[str,
     return html_blocks(decode(bytes(data), content_type)) if kind == "resource" else line_blocks(data)
 
 
+PAGE = "kind string, page_key long, host string, article int, inside array<boolean>, running array<boolean>, blocks array<string>, codes binary"
+
+
 def _page_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -220,8 +243,21 @@ def _page_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             title, blocks = _blocks_of(kind, data if kind == "resource" else text, ctype)
             blocks = [(p, b) for p, b in blocks if p != "none" and len(b.split()) >= 4]
             if blocks:
-                rows.append((kind, key, host, xxhash.xxh3_64_intdigest(title or str(key)) & 63, [p == "body" for p, _ in blocks], [p == "body" and running(b) for p, b in blocks], [b for _, b in blocks]))
-        yield pd.DataFrame(rows, columns=["kind", "page_key", "host", "article", "inside", "running", "blocks"])
+                texts = [b for _, b in blocks]
+                rows.append((kind, key, host, xxhash.xxh3_64_intdigest(title or str(key)) & 63, [p == "body" for p, _ in blocks], [p == "body" and running(b) for p, b in blocks], texts, codes(texts).tobytes()))
+        yield pd.DataFrame(rows, columns=["kind", "page_key", "host", "article", "inside", "running", "blocks", "codes"])
+
+
+def pages(resources: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every page with blocks, as in PAGE: resources whose answer is a page (status 200, or none stated) and sources of the
+    types html_url and doi_html. Null, empty and blank pages give no row."""
+    host = lambda url: F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    r = resources.where("data is not null and coalesce(status, 200) = 200").select(F.lit("resource").alias("kind"), F.col("resource_id").cast("long").alias("page_key"), host(F.col("url")).alias("host"), "data", F.lit(None).cast("string").alias("text"), "content_type")
+    s = sources.where("text is not null and source_type in ('html_url', 'doi_html')").select(F.lit("source").alias("kind"), F.col("source_id").cast("long").alias("page_key"), host(F.col("canonical_url")).alias("host"), F.lit(None).cast("binary").alias("data"), "text", F.lit(None).cast("string").alias("content_type"))
+    return r.unionByName(s).mapInPandas(_page_batches, PAGE)
+
+
+# -- runs that pages share ------------------------------------------------------------------------------------------------
 
 
 def _portions(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -230,90 +266,356 @@ def _portions(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[at : at + PORTION]
 
 
-def _merged(host: np.ndarray, run: np.ndarray, articles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One entry per host and run, its article bits combined."""
+def _stream(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all pages, block of each code, page of each block)."""
+    stream = np.frombuffer(b"".join(part["codes"]), dtype=np.uint32)
+    return stream, np.cumsum(stream == BEGIN) - 1, np.repeat(np.arange(len(part)), [len(b) for b in part["blocks"]])
+
+
+def _merged(host: np.ndarray, run: np.ndarray, articles: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry per host and run: its article bits combined, its occurrences summed."""
     if not len(run):
-        return host, run, articles
+        return host, run, articles, n
     order = np.lexsort((run, host))
-    host, run, articles = host[order], run[order], articles[order]
+    host, run, articles, n = host[order], run[order], articles[order], n[order]
     first = np.flatnonzero(np.r_[True, (host[1:] != host[:-1]) | (run[1:] != run[:-1])])
-    return host[first], run[first], np.bitwise_or.reduceat(articles, first)
+    return host[first], run[first], np.bitwise_or.reduceat(articles, first), np.add.reduceat(n, first)
 
 
 def _run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        codes, hosts = pd.factorize(pdf["host"].to_numpy(dtype=object))
-        pdf = pdf.assign(code=codes)
+        code, hosts = pd.factorize(pdf["host"].to_numpy(dtype=object))
+        pdf = pdf.assign(code=code)
         parts = []
         for part in _portions(pdf):
-            texts, code, article = [], [], []
-            for c, a, flags, blocks in zip(part["code"], part["article"], part["running"], part["blocks"]):
-                chosen = [x for f, x in zip(flags, blocks) if not f]
-                texts += chosen
-                code += [c] * len(chosen)
-                article += [a] * len(chosen)
-            found, count = block_runs(texts)
-            bits = (np.uint64(1) << np.array(article, dtype=np.uint64)).view(np.int64)
-            parts.append(_merged(np.repeat(np.array(code, dtype=np.int64), count), found, np.repeat(bits, count)))
-        host, run, articles = _merged(*(np.concatenate(x) for x in zip(*parts))) if parts else ([], [], [])
-        yield pd.DataFrame({"host": pd.Series(hosts[host] if len(host) else [], dtype=object), "run": run, "articles": articles})
-
-
-def _body_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            stream, block, page = _stream(part)
+            h, inside = runs_of(stream)
+            at = np.flatnonzero(inside)
+            b = block[at]
+            language = np.concatenate([np.asarray(x, dtype=bool) for x in part["running"]])[b]
+            p = page[b]
+            host = np.where(language, -1, part["code"].to_numpy()[p])
+            bits = np.where(language, 0, (np.uint64(1) << part["article"].to_numpy().astype(np.uint64)).view(np.int64)[p])
+            parts.append(_merged(host, h[at], bits, np.ones(len(at), dtype=np.int64)))
+        if parts:
+            host, run, articles, n = _merged(*(np.concatenate(x) for x in zip(*parts)))
+            yield pd.DataFrame({"host": np.r_[hosts, [None]].astype(object)[host], "run": run, "articles": articles, "n": n})
+
+
+def _seen_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every run each host has, in running text or not."""
     for pdf in batches:
-        parts = [np.unique(block_runs([x for flags, blocks in zip(part["running"], part["blocks"]) for f, x in zip(flags, blocks) if f])[0]) for part in _portions(pdf)]
-        yield pd.DataFrame({"run": np.unique(np.concatenate(parts)) if parts else []})
+        for host, part in pdf.groupby("host", sort=False):
+            h, inside = runs_of(_stream(part)[0])
+            yield pd.DataFrame({"host": host, "run": np.unique(h[inside])})
 
 
-def _holds(fixed: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Which of the runs found are fixed ones (sorted)."""
-    if not len(fixed):
-        return np.zeros(len(found), dtype=bool)
-    return fixed[np.minimum(np.searchsorted(fixed, found), len(fixed) - 1)] == found
+def fixed_runs(blocks: DataFrame) -> DataFrame:
+    """(host, run, n): the runs at which the pages of a host are aligned, and how often they stand there; host ``*`` has those of the hosts together (sites share
+    platforms).
+
+    A run needs enough different articles outside running text, on the host or on all hosts together, and at most
+    LANGUAGE of its occurrences there in running text anywhere. Articles are counted by the bits of a 64-bit map (of their
+    titles' hash), so pages fetched again count once. One shuffle, of one row per batch, host and run.
+    """
+    seen = blocks.mapInPandas(_run_batches, "host string, run long, articles long, n long").repartition("run").groupBy("host", "run").agg(F.bit_or("articles").alias("articles"), F.sum("n").alias("n"))
+    outside = F.col("host").isNotNull()
+    total = seen.groupBy("run").agg(F.bit_or("articles").alias("every"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_out"), F.sum(F.when(outside, 0).otherwise(F.col("n"))).alias("n_in"))
+    template = total.where((F.bit_count("every") >= HOST_ARTICLES) & (F.col("n_in") <= LANGUAGE * F.col("n_out")))
+    shared = template.where(F.bit_count("every") >= ALL_ARTICLES).select(F.lit("*").alias("host"), "run", F.col("n_out").alias("n"))
+    own = seen.where(outside & (F.bit_count("articles") >= HOST_ARTICLES)).join(template.where(F.bit_count("every") < ALL_ARTICLES).select("run"), "run", "left_semi").select("host", "run", "n")
+    return own.unionByName(shared)
+
+
+# -- what every page needs of its host ------------------------------------------------------------------------------------
 
 
-def _paragraph_batches(wrappers: dict[str, np.ndarray] | None):
+def beside(blocks: DataFrame, side: DataFrame, work, schema: str, seen: DataFrame | None = None) -> DataFrame:
+    """``work(rows of the host's side, batch)`` over all pages; ``side`` is (host, run, ...), host ``*`` holding for all.
+
+    Up to SIDE_ROWS rows of ``side`` are handed to every task. Larger ones go to the pages' hosts (``seen``: the runs
+    that each host has, which tell what of ``*`` it needs): side rows and pages of a host come into one stream, its side rows
+    first, and hosts with a thousandth of all pages are spread over tasks by the pages' keys. Both ways give the same rows.
+    """
+    columns = [c for c in side.columns if c != "host"]
+    if side.count() <= SIDE_ROWS:
+        given: dict[str, list] = {}
+        for r in side.toLocalIterator():
+            given.setdefault(r["host"], []).append(tuple(r[c] for c in columns))
+        return blocks.mapInPandas(_given(given, work), schema)
+    n = blocks.count()
+    hot = F.broadcast(blocks.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") * HOT >= n).select("host", F.ceil(F.col("n") * HOT / n).cast("int").alias("tasks")))
+    shared = side.where("host = '*'").drop("host").join(seen.distinct(), "run").select(side.columns)
+    own = side.where("host <> '*'").unionByName(shared)
+    salts = F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)
+    # Neither kind of row leaves a number of the other's null: in pandas a column of whole numbers with gaps would be floats.
+    filled = lambda df, names: [F.lit(0).cast(kind).alias(c) for c, kind in df.dtypes if c in names and kind in ("int", "bigint")]
+    left = own.join(hot, "host", "left").select("host", F.explode(salts).alias("salt"), F.lit(False).alias("is_page"), *columns, *filled(blocks, {*blocks.columns} - {"host"}))
+    right = blocks.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_key"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks").select("*", F.lit(True).alias("is_page"), *filled(side, columns))
+    both = right.unionByName(left, allowMissingColumns=True).repartition("host", "salt").sortWithinPartitions("host", "salt", "is_page")
+    return both.mapInPandas(_streamed(columns, work), schema)
+
+
+def _given(given: dict[str, list], work):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.empty(0, dtype=np.int64)
-        own: dict[str, np.ndarray] = {}
-        shared = np.sort(wrappers.get("*", none)) if wrappers is not None else none
+        made: dict = {}
         for pdf in batches:
-            rows = []
-            for i, (kind, key, host, inside, flags, blocks) in enumerate(zip(pdf["kind"], pdf["page_key"], pdf["host"], pdf["inside"], pdf["running"], pdf["blocks"])):
-                if host not in own:
-                    own[host] = np.sort(np.asarray(wrappers.get(host, none) if wrappers is not None else pdf["fixed"].iloc[i], dtype=np.int64))
-                chosen = [(f, x) for b, f, x in dict.fromkeys(zip(inside, flags, blocks)) if b and len(x.split()) >= LEAST_WORDS and _CLOSED.search(x)]
-                found, count = block_runs([x for f, x in chosen if not f])
-                hit = np.r_[0, np.cumsum(_holds(own[host], found) | _holds(shared, found))]
-                site = iter(np.diff(hit[np.r_[0, np.cumsum(count)]]) > 0)
-                rows += [(kind, key, x) for f, x in chosen if f or not next(site)]
-            yield pd.DataFrame(rows, columns=["kind", "page_key", "paragraph"])
+            for host, part in pdf.groupby("host", sort=False):
+                if host not in made:
+                    made[host] = work(given.get(host, []) + given.get("*", []))
+                yield from map(made[host], _portions(part))
 
     return run
 
 
-def pages(resources: DataFrame, sources: DataFrame) -> DataFrame:
-    """(kind, page_key, host, article, inside, running, blocks) of every page with blocks: resources whose answer is a page
-    (status 200, or none stated) and sources of the types html_url and doi_html. Null, empty and blank
-    pages give no row."""
-    host = lambda url: F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
-    r = resources.where("data is not null and coalesce(status, 200) = 200").select(F.lit("resource").alias("kind"), F.col("resource_id").cast("long").alias("page_key"), host(F.col("url")).alias("host"), "data", F.lit(None).cast("string").alias("text"), "content_type")
-    s = sources.where("text is not null and source_type in ('html_url', 'doi_html')").select(F.lit("source").alias("kind"), F.col("source_id").cast("long").alias("page_key"), host(F.col("canonical_url")).alias("host"), F.lit(None).cast("binary").alias("data"), "text", F.lit(None).cast("string").alias("content_type"))
-    return r.unionByName(s).mapInPandas(_page_batches, "kind string, page_key long, host string, article int, inside array<boolean>, running array<boolean>, blocks array<string>")
+def _streamed(columns: list[str], work):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, values, made = None, [], None
+        for pdf in batches:
+            for key, part in pdf.groupby(["host", "salt"], sort=False):
+                if key != at:
+                    at, values, made = key, [], None
+                mine = part["is_page"].to_numpy(dtype=bool)
+                values += list(zip(*(part[c][~mine].tolist() for c in columns)))
+                if mine.any():
+                    made = made or work(values)
+                    yield from map(made, _portions(part[mine]))
+
+    return run
+
+
+def _holds(known: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the runs found are known ones (sorted)."""
+    if not len(known):
+        return np.zeros(len(found), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
+
+
+# -- expressions ------------------------------------------------------------------------------------------------------------
+
+#: In an expression's list of tokens, a text slot.
+SLOT = ""
+#: Stands for a slot where one expression is read through another; no token has a blank.
+NOTHING = "\u2423"
+EXPRESSION = "host string, family long, tokens array<string>, anchors array<boolean>, articles long, n long, often int"
+
+
+def _expression_batches(values: list):
+    """Blocks of a host aligned at its fixed runs: their expressions with article bits, pages and most occurrences on a page.
+    An expression's family is the most frequent of its runs: there its alignment with others begins."""
+    rank = {run: n for run, n in values}
+    fixed = np.array(sorted(rank), dtype=np.int64)
+    weight = np.array([rank[r] for r in fixed.tolist()], dtype=np.int64)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        stream, block, page = _stream(part)
+        h, inside = runs_of(stream)
+        flags = np.concatenate([np.asarray(x, dtype=bool) for x in part["running"]])
+        hit = inside & _holds(fixed, h) & ~flags[block[: len(h)]]
+        cover = np.zeros(len(stream), dtype=bool)
+        for i in range(RUN):
+            cover[i : i + len(hit)] |= hit
+        kept = np.where(cover, stream.astype(np.int64), -1)
+        begins = np.flatnonzero(stream == BEGIN)
+        ends = np.r_[begins[1:], len(stream)]
+        texts = [x for b in part["blocks"] for x in b]
+        articles, host = part["article"].to_numpy(), part["host"].iloc[0]
+        rows: dict[bytes, list] = {}
+        for b in np.unique(block[: len(h)][hit]):
+            shape = kept[begins[b] : ends[b]]
+            shape = shape[(shape >= 0) | np.r_[True, shape[:-1] >= 0]]
+            row = rows.get(key := shape.tobytes())
+            if row is None:
+                toks = ["^", *tokens(texts[b]), "$"]
+                mine = cover[begins[b] : ends[b]]
+                keep = mine | np.r_[True, mine[:-1]]
+                toks = [t if m else SLOT for t, m, k in zip(toks, mine, keep) if k]
+                at = begins[b] + np.flatnonzero(hit[begins[b] : ends[b]])
+                best = h[at[np.argmax(weight[np.searchsorted(fixed, h[at])])]]
+                rows[key] = row = [host, best, toks, np.r_[hit, np.zeros(RUN, dtype=bool)][begins[b] : ends[b]][keep], 0, 0, 0, -1, 0]
+            p = page[b]
+            row[4] |= 1 << int(articles[p])
+            row[8] = row[8] + 1 if row[7] == p else 1
+            row[5] += row[7] != p
+            row[6], row[7] = max(row[6], row[8]), p
+        for row in rows.values():
+            row[4] -= (row[4] >> 63) << 64
+        return pd.DataFrame([r[:7] for r in rows.values()], columns=["host", "family", "tokens", "anchors", "articles", "n", "often"])
+
+    return run
+
+
+#: (token or slot, whether it is optional, whether a fixed run begins here)
+Item = tuple[str, bool, bool]
+
+
+def align(wrapper: list[Item], toks: list[str]) -> list[Item] | None:
+    """``wrapper`` generalised so that it also matches ``toks``; None if the two are different texts.
+
+    Text of one side only becomes optional, text that differs a slot; slots take in optional text beside them. Enough
+    of the longer one's fixed tokens must agree, a whole fixed run among them."""
+    mine = [t for t, _, _ in wrapper]
+    out: list[Item] = []
+    same = 0
+    for op, a, b, c, d in SequenceMatcher(None, mine, toks, autojunk=False).get_opcodes():
+        if op == "equal":
+            out += [(t, o, x and i + RUN <= b) for i, (t, o, x) in enumerate(wrapper[a:b], a)]
+            same += sum(t != SLOT and not o for t, o, _ in wrapper[a:b])
+        elif op == "replace" or SLOT in mine[a:b] + toks[c:d]:
+            out.append((SLOT, False, False))
+        else:
+            out += [(t, True, False) for t in mine[a:b] + toks[c:d]]
+    longer = max(sum(t != SLOT and not o for t, o, _ in wrapper), sum(t != SLOT for t in toks))
+    if same < max(RUN, SAME * longer) or not any(x for _, _, x in out):
+        return None
+    return _squeezed(out)
 
 
-def wrapper_runs(blocks: DataFrame) -> DataFrame:
-    """(host, run): the fixed runs of each host's wrapper; host ``*`` has those of all hosts together.
+def _squeezed(items: list[Item]) -> list[Item]:
+    out: list[Item] = []
+    for t, o, x in items:
+        if t == SLOT:
+            while out and (out[-1][1] or out[-1][0] == SLOT):
+                out.pop()
+            out.append((SLOT, False, False))
+        elif not (o and out and out[-1][0] == SLOT):
+            out.append((t, o, x))
+    return out
 
-    A run is fixed on a host if enough different articles have it outside running text, on that host or on all hosts together (sites
-    share platforms), and no running text of any page has.
-    Articles are counted by the bits of a 64-bit map (of their titles' hash), which is all that is shuffled for a run.
+
+WRAPPER = "host string, family long, tokens array<string>, optional array<boolean>, anchors array<boolean>, articles long, n long, often int"
+
+
+def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Expressions of each host and family, in order of support, aligned one after the other."""
+    at, found = None, []
+
+    def done() -> pd.DataFrame:
+        rows = [(*at[:2], *(list(x) for x in zip(*w)), bits - ((bits >> 63) << 64), n, often) for w, _, bits, n, often in found]
+        return pd.DataFrame(rows, columns=["host", "family", "tokens", "optional", "anchors", "articles", "n", "often"])
+
+    for pdf in batches:
+        salt = pdf["salt"] if "salt" in pdf else itertools.repeat(0)
+        for host, fam, toks, optional, anchors, bits, n, often, key in zip(*(pdf[c] for c in ("host", "family", "tokens", "optional", "anchors", "articles", "n", "often")), salt):
+            if (host, fam, key) != at:
+                if found:
+                    yield done()
+                at, found = (host, fam, key), []
+            # Text that is optional already may stand or not: to another expression it is a slot.
+            plain = [t for t, _, _ in _squeezed([(SLOT, False, False) if o else (t, False, False) for t, o in zip(toks, optional)])]
+            line = "".join(f"{t or NOTHING} " for t in plain)
+            bits &= (1 << 64) - 1
+            for i, (w, made, b, m, o) in enumerate(found):
+                known = made.fullmatch(line) is not None
+                if known or (got := align(w, plain)) is not None:
+                    found[i] = (*((w, made) if known else (got, re.compile(expression(got)))), b | bits, m + n, max(o, often))
+                    break
+            else:
+                w = list(zip(toks, optional, anchors))
+                found.append((w, re.compile(expression(w)), bits, n, often))
+    if found:
+        yield done()
+
+
+def _rule_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        items = [list(zip(*x)) for x in zip(pdf["tokens"], pdf["optional"], pdf["anchors"])]
+        yield pd.DataFrame({"host": pdf["host"], "expression": map(expression, items), "occurs": np.where(pdf["often"] > 1, "*", "?"), "pages": pdf["n"], "run": map(key_run, items)})
+
+
+def key_run(items: list[Item]) -> int:
+    """Hash of the first fixed run of an expression; every text it matches has it."""
+    i = next(i for i, item in enumerate(items) if item[2])
+    stream = [BEGIN if t == "^" and j == 0 else END if t == "$" and j == len(items) - 1 else xxhash.xxh32_intdigest(t) | 2 for j, (t, _, _) in enumerate(items[i : i + RUN], i)]
+    return int(runs_of(np.array(stream, dtype=np.uint32))[0][0])
+
+
+def expression(items: list[Item]) -> str:
+    """The regular expression, over tokens that each end in a blank: slots, optional groups, and units that follow themselves as
+    repeated groups. It has no alternatives."""
+    out, i = [], 0
+    while i < len(items):
+        unit, times = _repeat(items, i)
+        if times > 1:
+            stop = re.escape(unit[-1][0] + " ")
+            out.append("(?:" + "".join(rf"(?:(?!{stop})\S+ )*" if t == SLOT else re.escape(t + " ") for t, _, _ in unit) + ")+")
+            i += len(unit) * times
+        elif items[i][1]:
+            j = i
+            while j < len(items) and items[j][1]:
+                j += 1
+            out.append("(?:" + "".join(re.escape(t + " ") for t, _, _ in items[i:j]) + ")?")
+            i = j
+        else:
+            out.append(r"(?:\S+ )*?" if items[i][0] == SLOT else re.escape(items[i][0] + " "))
+            i += 1
+    return "".join(out)
+
+
+def _repeat(items: list[Item], i: int) -> tuple[list[Item], int]:
+    """The shortest unit from ``i`` on that ends in fixed text and follows itself, and how often."""
+    for size in range(2, 7):
+        unit = items[i : i + size]
+        if len(unit) < size or unit[-1][0] == SLOT or any(o for _, o, _ in unit):
+            continue
+        times = 1
+        while [x[:2] for x in items[i + times * size : i + (times + 1) * size]] == [x[:2] for x in unit]:
+            times += 1
+        if times > 1:
+            return unit, times
+    return items[i : i + 1], 1
+
+
+def wrappers(expressions: DataFrame, runs: DataFrame) -> DataFrame:
+    """(host, expression, occurs, pages, run): the wrapper of each host; host ``*`` has what hosts share, the expressions whose
+    family is a run of ``*`` in ``runs`` (as of ``fixed_runs``).
+
+    ``expressions`` are those of all blocks. They are aligned in one stream per host and family, ordered by support and
+    text, first within parts by a hash of the text, then together; so the result depends on the data alone, and a task holds
+    one family's wrapper rows. What is left needs enough different articles.
     """
-    body = blocks.mapInPandas(_body_batches, "run long")
-    seen = blocks.mapInPandas(_run_batches, "host string, run long, articles long").groupBy("host", "run").agg(F.bit_or("articles").alias("articles"))
-    own = seen.where(F.bit_count("articles") >= HOST_ARTICLES).select("host", "run")
-    shared = seen.groupBy("run").agg(F.bit_or("articles").alias("articles")).where(F.bit_count("articles") >= ALL_ARTICLES).select(F.lit("*").alias("host"), "run")
-    return own.unionByName(shared).join(body, "run", "left_anti").select("host", "run")
+    level = runs.where("host = '*'").select(F.col("run").alias("family"), F.lit("*").alias("level"))
+    rows = expressions.join(level, "family", "left").withColumn("host", F.coalesce("level", "host"))
+    rows = rows.groupBy("host", "family", "tokens", "anchors").agg(F.bit_or("articles").alias("articles"), F.sum("n").alias("n"), F.max("often").alias("often"))
+    rows = rows.withColumn("optional", F.transform("tokens", lambda _: F.lit(False))).withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(PARTS)))
+    for key in (["host", "family", "salt"], ["host", "family"]):
+        rows = rows.repartition(*key).sortWithinPartitions(*key, F.desc("n"), "tokens").mapInPandas(_fold_batches, WRAPPER)
+    enough = F.bit_count("articles") >= F.when(F.col("host") == "*", ALL_ARTICLES).otherwise(HOST_ARTICLES)
+    return rows.where(enough).mapInPandas(_rule_batches, "host string, expression string, occurs string, pages long, run long")
+
+
+# -- pages through their wrappers ----------------------------------------------------------------------------------------
+
+
+def _paragraph_batches(values: list):
+    """Blocks of the region that no expression of the host's wrapper matches, each once a page."""
+    by_key: dict[int, list[re.Pattern]] = {}
+    for text, key in dict.fromkeys(values):
+        by_key.setdefault(int(key), []).append(re.compile(text))
+    keys = np.array(sorted(by_key), dtype=np.int64)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        stream, block, page = _stream(part)
+        h, inside = runs_of(stream)
+        at = np.flatnonzero(inside & _holds(keys, h))
+        met: dict[int, set[int]] = {}
+        for b, k in zip(block[at], h[at]):
+            met.setdefault(int(b), set()).add(int(k))
+        rows, b = [], -1
+        for kind, key, flags, blocks in zip(part["kind"], part["page_key"], part["inside"], part["blocks"]):
+            kept = {}
+            for flag, x in zip(flags, blocks):
+                b += 1
+                if flag and x not in kept and len(x.split()) >= LEAST_WORDS:
+                    if b in met:
+                        line = " ".join(["^", *tokens(x), "$", ""])
+                        if any(e.fullmatch(line) for k in met[b] for e in by_key[k]):
+                            continue
+                    kept[x] = None
+            rows += [(kind, key, x) for x in kept]
+        return pd.DataFrame(rows, columns=["kind", "page_key", "paragraph"])
+
+    return run
 
 
 def paragraphs(resources: DataFrame, sources: DataFrame) -> DataFrame:
@@ -323,13 +625,8 @@ def paragraphs(resources: DataFrame, sources: DataFrame) -> DataFrame:
     LEAST_WORDS words. Repeated pages give their paragraphs each; pages without a body give no row.
     """
     blocks = cut(pages(resources, sources))
-    fixed = cut(wrapper_runs(blocks))
-    schema = "kind string, page_key long, paragraph string"
-    if fixed.count() <= WRAPPER_RUNS:
-        wrappers = {r["host"]: np.array(r["runs"], dtype=np.int64) for r in fixed.groupBy("host").agg(F.collect_list("run").alias("runs")).collect()}
-        return blocks.mapInPandas(_paragraph_batches(wrappers), schema)
-    per_host = blocks.groupBy("host").agg(F.count("*").alias("n"))
-    seen = blocks.mapInPandas(_run_batches, "host string, run long, articles long").select("host", "run")
-    every = fixed.where("host <> '*'").unionByName(seen.join(fixed.where("host = '*'").select("run"), "run", "left_semi")).distinct()
-    own = per_host.join(every.groupBy("host").agg(F.collect_list("run").alias("fixed")), "host", "left").withColumn("fixed", F.coalesce("fixed", F.array().cast("array<bigint>")))
-    return lookup_join(blocks, own, "host", blocks.count(), "n").mapInPandas(_paragraph_batches(None), schema)
+    seen = blocks.mapInPandas(_seen_batches, "host string, run long")
+    runs = cut(fixed_runs(blocks))
+    aligned = beside(blocks, runs, _expression_batches, EXPRESSION, seen)
+    wrapper = cut(wrappers(aligned, runs)).select("host", "expression", "run")
+    return beside(blocks, wrapper, _paragraph_batches, "kind string, page_key long, paragraph string", seen)

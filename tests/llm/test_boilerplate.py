@@ -66,7 +66,8 @@ def test_bodies(spark, monkeypatch):
     assert sum(map(len, got.values())) == len(rows) and set(got) <= set(want)
     true = sum(len(got.get(k, set()) & v) for k, v in want.items())
     assert true >= 0.99 * sum(map(len, want.values())) and true >= 0.99 * len(rows)
-    monkeypatch.setattr(B, "WRAPPER_RUNS", 0)  # wrappers too large to hand out are joined by host
+    monkeypatch.setattr(B, "SIDE_ROWS", 0)  # runs and wrappers too large to hand out meet the pages host by host
+    monkeypatch.setattr(B, "HOT", 9)  # and hosts with many pages are spread
     again = B.paragraphs(rd, sd).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
@@ -89,9 +90,42 @@ def test_running_text_of_every_page_counts(spark):
 
 def test_runs_follow_tokens():
     a, b = "It is 3.5 mm at www.x.com, Tom said.", "It is 9 mm at www.why.com, Ann said."
-    found, count = B.block_runs([a, "", "Hello", b])
-    assert list(count) == [len(B.tokens(x)) for x in (a, "", "Hello", b)] and len(found) == count.sum()
-    assert B.tokens(a) == B.tokens(b) and (found[: count[0]] == found[-count[3] :]).all() and len(set(found[: count[0]])) == count[0]
+    stream = B.codes([a, "", "Hello", b])
+    h, inside = B.runs_of(stream)
+    begins = [i for i, c in enumerate(stream) if c == B.BEGIN]
+    n = len(B.tokens(a))
+    assert len(begins) == 4 and inside.sum() == sum(len(B.tokens(x)) for x in (a, "", "Hello", b))
+    assert B.tokens(a) == B.tokens(b) and (h[:n] == h[begins[3] : begins[3] + n]).all() and len(set(h[:n])) == n
+
+
+def items(text, *anchors):
+    toks = [t if t != "_" else B.SLOT for t in text.split()]
+    return [(t, False, i in anchors) for i, t in enumerate(toks)]
+
+
+def test_alignment_makes_slots_and_optional_groups():
+    w = items("^ we use cookies to measure visits . $", 0, 1, 6)
+    w = B.align(w, "^ we use tools to measure visits . $".split())
+    assert B.expression(w).replace("\\ ", " ") == r"\^ we use (?:\S+ )*?to measure visits \. \$ "
+    w = B.align(w, ["^", "we", "use", B.SLOT, "to", "measure", "all", "visits", ".", "$"])
+    assert "measure (?:all )?visits" in B.expression(w).replace("\\ ", " ")
+    import re
+
+    e = re.compile(B.expression(w))
+    assert e.fullmatch("^ we use a b c to measure visits . $ ") and not e.fullmatch("^ we use a to count visits . $ ")
+    assert B.align(w, "^ the reef lost all of its colour . $".split()) is None  # another text
+    assert B.align(items("^ a b c d e f g $", 6), "^ a b c d e x y $".split()) is None  # agrees, but on no fixed run
+
+
+def test_units_that_follow_themselves_are_one_group():
+    e = B.expression(items("^ home | news | _ | about | $", 0))
+    assert e.count(")+") == 0
+    e = B.expression(items("^ _ | _ | _ | $", 5))
+    assert e.replace("\\ ", " ").count(")+") == 1
+    import re
+
+    assert re.fullmatch(e, "^ a b | c | d | e f | $ ") and not re.fullmatch(e, "^ a b | c | d $ ")
+    assert re.fullmatch(e, "^ " + "a | " * 2000 + "b $ ") is None  # and it fails in linear time
 
 
 def test_empty(spark):

@@ -30,6 +30,8 @@ from claimloom.session import cut
 
 #: Words a paragraph needs; tokens of a run; articles a run or expression needs on its host, or on the hosts together.
 LEAST_WORDS, RUN, HOST_ARTICLES, ALL_ARTICLES = 8, 3, 4, 6
+#: ... and this share of the pages of its host, or of the hosts together.
+SUPPORT = 0.003
 #: A run is language, not template, if running text has it more often than this share of its occurrences elsewhere.
 LANGUAGE = 0.001
 #: Two expressions of one site text share at least this part of the longer one's fixed tokens.
@@ -40,8 +42,6 @@ SIDE_ROWS = 2_000_000
 HOT = 1000
 #: Parts in which the expressions of one family are aligned before they meet.
 PARTS = 8
-#: Tokens whose codes a task remembers.
-KNOWN_TOKENS = 500_000
 #: Pages whose runs are in memory at once.
 PORTION = 250
 
@@ -58,8 +58,8 @@ _VOID = frozenset(["hr", "br", "img", "input", "meta", "link"])
 _SITE_ATTR = re.compile(r"(?:class|id|role)\s*=\s*[\"']?[^\"'>]*\b(?:nav|menu|cookie|consent|banner|sidebar|footer|related|promo|newsletter|share|complementary|navigation|contentinfo|breadcrumb|advert)", re.I)
 _ABSTRACT_ATTR = re.compile(r"(?:class|id)\s*=\s*[\"']?[^\"'>]*\babstract\b", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:\-]+)", re.I)
-_TOKENS = re.compile(r"(?:[\w\-]+\.)+[a-z]{3,}\b|\d[\d.,]*|[^\W\d_]+(?:['’\-][^\W\d_]+)*|[^\w\s]")
-_SENTENCES = re.compile(r"(?<![Ff]ig)(?<!i\.e)(?<!e\.g)(?<!\bcf)(?<!\bal)(?<!\bvs)[.!?](?=\s+[^\Wa-z]|\s*\Z)")
+_SENTENCES = re.compile(r"[.!?](?<![Ff]ig\.)(?<!i\.e\.)(?<!e\.g\.)(?<!\bcf\.)(?<!\bal\.)(?<!\bvs\.)(?=\s+[^\Wa-z]|\s*\Z)")
+_ENTRY = re.compile(r"\[?\d{1,4}[.\])]\s")
 _CLOSED = re.compile(r"[.!?:;][\"'”’)\]]*\Z")
 
 
@@ -109,6 +109,8 @@ def html_blocks(text: str) -> tuple[str, list[tuple[str, str]]]:
                 state = "body"
             return
         marks = {m for _, m in stack if m}
+        if state == "end" and _ENTRY.match(block):
+            return
         place = "body" if state == "body" and not marks else "site" if "site" in marks or state in ("pre", "after", "end", "body") else "none"
         out.append((place, block))
 
@@ -162,52 +164,92 @@ def line_blocks(text: str) -> tuple[str, list[tuple[str, str]]]:
                 title = title or (lines[i - 2] if i > 1 else "")
                 state = "body"
             continue
-        out.append(("body" if state == "body" else "none" if state == "abstract" else "site", line))
+        if state != "end" or not _ENTRY.match(line):
+            out.append(("body" if state == "body" else "none" if state == "abstract" else "site", line))
     return title, out
 
 
-def _kind(token: str, first: bool) -> str:
-    return "#" if token[0].isdigit() else "@" if "." in token and len(token) > 3 else "N" if not first and token[0].isupper() else token.lower()
-
-
-def tokens(block: str) -> list[str]:
-    """Lower-case words and punctuation; numbers, host names and, after the first word, capitalised words by kind."""
-    return [_kind(t, i == 0) for i, t in enumerate(_TOKENS.findall(block))]
-
-
+#: Codes of a block's ends, and of the kinds that stand for many tokens; other codes are hashes from 8 on.
 BEGIN, END = 0, 1
+KINDS = {"#": 2, "@": 3, "N": 4}
+_GAP, _LETTER, _DIGIT, _SIGN = range(4)
+_FACTOR, _TOP = 0x9E3779B97F4A7C15, 0x10000
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, lower case and whether it is a capital, of each code point below _TOP; all above are signs."""
+    chars = [chr(i) for i in range(_TOP)]
+    kinds = [_GAP if c.isspace() or c == "_" else _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SIGN for c in chars]
+    lower = [ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(chars)]
+    return np.array([*kinds, _SIGN], dtype=np.uint8), np.array([*lower, _TOP], dtype=np.uint64), np.array([*(c.isupper() for c in chars), False])
+
+
+_CLASS, _LOWER, _CAPITAL = _tables()
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of _FACTOR and of its inverse modulo 2**64, from the 0th on."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.r_[np.ones(1, dtype=np.uint64), np.full(2 * n, base, dtype=np.uint64)], dtype=np.uint64)
+    return _POWERS
+
+
+def _tokenised(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, code, line) of each token of lines of text. Tokens are words (letters, with apostrophes, hyphens and dots
+    between letters), numbers (digits, with dots and commas between digits) and single signs. Numbers, words with dots
+    (host names) and, after a line's first token, capitalised words have the code of their kind; case doesn't count."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(a):
+        return (np.empty(0, dtype=np.int64),) * 4
+    c = np.minimum(a, _TOP)
+    kind = _CLASS[c]
+    beside = np.r_[np.uint8(0), kind, np.uint8(0)]
+    around = np.where(beside[:-2] == beside[2:], beside[2:], 0)
+    dot = a == 46
+    joins = (around == _LETTER) & (dot | (a == 39) | (a == 0x2019) | (a == 45)) | (around == _DIGIT) & (dot | (a == 44))
+    if joins.any():
+        kind = np.where(joins, around, kind)
+    change = np.r_[True, kind[1:] != kind[:-1]] | (kind == _SIGN)
+    start = np.flatnonzero(change & (kind != _GAP))
+    end = np.flatnonzero(np.r_[change[1:], True] & (kind != _GAP)) + 1
+    if not len(start):
+        return (np.empty(0, dtype=np.int64),) * 4
+    up, down = _powers(len(a))
+    total = np.r_[np.uint64(0), np.cumsum((_LOWER[c] + np.uint64(1)) * up[: len(a)], dtype=np.uint64)]
+    h = (total[end] - total[start]) * down[start]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    code = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(8)
+    line = np.cumsum(a == 10)[start]
+    first = np.r_[True, line[1:] != line[:-1]]
+    word, dots = kind[start] == _LETTER, np.r_[0, np.cumsum(dot)]
+    code[word & ~first & _CAPITAL[c[start]]] = KINDS["N"]
+    code[word & (dots[end] > dots[start]) & (end - start > 3)] = KINDS["@"]
+    code[(kind[start] == _DIGIT) | (a[start] == 35)] = KINDS["#"]
+    code[a[start] == 64] = KINDS["@"]
+    return start, end, code, line
 
 
-class _Codes(dict):
-    """Code of each token's kind, kept for words met again; codes 0 and 1 are a block's ends."""
-
-    def __init__(self, first: bool):
-        self.first = first
-
-    def __missing__(self, token: str) -> int:
-        value = xxhash.xxh32_intdigest(_kind(token, self.first)) | 2
-        if not token[0].isdigit():
-            if len(self) >= KNOWN_TOKENS:
-                self.clear()
-            self[token] = value
-        return value
+def tokens(block: str) -> list[str]:
+    """Lower-case words and signs; numbers, host names and, after the first word, capitalised words by kind."""
+    names = {v: k for k, v in KINDS.items()}
+    start, end, code, _ = _tokenised(block.replace("\n", " "))
+    return [names.get(k) or block[i:j].lower() for i, j, k in zip(start.tolist(), end.tolist(), code.tolist())]
 
 
-_FIRST, _LATER = _Codes(True), _Codes(False)
-_MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+def codes(blocks: list[str]) -> np.ndarray:
+    """Token codes of the blocks (without line breaks) one after the other, each between its two ends."""
+    _, _, code, line = _tokenised("\n".join(blocks))
+    count = np.bincount(line, minlength=len(blocks)) if len(blocks) else np.empty(0, dtype=np.int64)
+    out = np.empty(len(code) + 2 * len(blocks), dtype=np.uint32)
+    after = np.cumsum(count) + 2 * np.arange(len(blocks))
+    out[after - count], out[after + 1] = BEGIN, END
+    out[np.arange(len(code)) + 2 * line + 1] = code
+    return out
 
 
-def codes(blocks: list[str]) -> np.ndarray:
-    """Token codes of the blocks one after the other, each between its two ends."""
-    flat: list[int] = []
-    for block in blocks:
-        found = _TOKENS.findall(block)
-        flat.append(BEGIN)
-        if found:
-            flat.append(_FIRST[found[0]])
-            flat += map(_LATER.__getitem__, found[1:])
-        flat.append(END)
-    return np.array(flat, dtype=np.uint32)
+_MIX = [np.uint64(k) for k in (_FACTOR, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def runs_of(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,16 +356,22 @@ def fixed_runs(blocks: DataFrame) -> DataFrame:
     """(host, run, n): the runs at which the pages of a host are aligned, and how often they stand there; host ``*`` has those of the hosts together (sites share
     platforms).
 
-    A run needs enough different articles outside running text, on the host or on all hosts together, and at most
-    LANGUAGE of its occurrences there in running text anywhere. Articles are counted by the bits of a 64-bit map (of their
+    A run needs enough different articles and SUPPORT of the pages outside running text, of the host's or of all hosts' pages
+    together, and in running text anywhere at most LANGUAGE times as many occurrences as outside it. Articles are counted by the bits of a 64-bit map (of their
     titles' hash), so pages fetched again count once. One shuffle, of one row per batch, host and run.
     """
+    # Rows of running text have no host and no article bits. Both uses of ``seen`` filter on bits only, after the counts, so
+    # that they share one exchange.
     seen = blocks.mapInPandas(_run_batches, "host string, run long, articles long, n long").repartition("run").groupBy("host", "run").agg(F.bit_or("articles").alias("articles"), F.sum("n").alias("n"))
     outside = F.col("host").isNotNull()
     total = seen.groupBy("run").agg(F.bit_or("articles").alias("every"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_out"), F.sum(F.when(outside, 0).otherwise(F.col("n"))).alias("n_in"))
     template = total.where((F.bit_count("every") >= HOST_ARTICLES) & (F.col("n_in") <= LANGUAGE * F.col("n_out")))
-    shared = template.where(F.bit_count("every") >= ALL_ARTICLES).select(F.lit("*").alias("host"), "run", F.col("n_out").alias("n"))
-    own = seen.where(outside & (F.bit_count("articles") >= HOST_ARTICLES)).join(template.where(F.bit_count("every") < ALL_ARTICLES).select("run"), "run", "left_semi").select("host", "run", "n")
+    per_host = blocks.groupBy("host").agg(F.count("*").alias("pages"))
+    every = per_host.agg(F.sum("pages")).first()[0] or 0
+    common = (F.bit_count("every") >= ALL_ARTICLES) & (F.col("n_out") >= SUPPORT * every)
+    shared = template.where(common).select(F.lit("*").alias("host"), "run", F.col("n_out").alias("n"))
+    own = seen.where(F.bit_count("articles") >= HOST_ARTICLES).join(template.where(~common).select("run"), "run", "left_semi")
+    own = own.join(per_host, "host").where(F.col("n") >= SUPPORT * F.col("pages")).select("host", "run", "n")
     return own.unionByName(shared)
 
 
@@ -393,11 +441,13 @@ def _holds(known: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 # -- expressions ------------------------------------------------------------------------------------------------------------
 
-#: In an expression's list of tokens, a text slot.
-SLOT = ""
-#: Stands for a slot where one expression is read through another; no token has a blank.
+#: Among an expression's tokens, a text slot: no token is a blank.
+SLOT = " "
+#: Stands for a slot where tokens are written in one line.
 NOTHING = "\u2423"
-EXPRESSION = "host string, family long, tokens array<string>, anchors array<boolean>, articles long, n long, often int"
+#: ``tokens`` with blanks between them, ``anchors`` with 1 where a fixed run begins, else 0; later ``optional`` likewise.
+EXPRESSION = "host string, family long, tokens string, anchors string, articles long, n long, often int"
+WRAPPER = EXPRESSION + ", optional string"
 
 
 def _expression_batches(values: list):
@@ -416,6 +466,7 @@ def _expression_batches(values: list):
         for i in range(RUN):
             cover[i : i + len(hit)] |= hit
         kept = np.where(cover, stream.astype(np.int64), -1)
+        starts = np.r_[hit, np.zeros(min(RUN - 1, len(stream)), dtype=bool)].view(np.uint8)
         begins = np.flatnonzero(stream == BEGIN)
         ends = np.r_[begins[1:], len(stream)]
         texts = [x for b in part["blocks"] for x in b]
@@ -429,10 +480,10 @@ def _expression_batches(values: list):
                 toks = ["^", *tokens(texts[b]), "$"]
                 mine = cover[begins[b] : ends[b]]
                 keep = mine | np.r_[True, mine[:-1]]
-                toks = [t if m else SLOT for t, m, k in zip(toks, mine, keep) if k]
+                line = " ".join([t if m else NOTHING for t, m, k in zip(toks, mine, keep) if k])
                 at = begins[b] + np.flatnonzero(hit[begins[b] : ends[b]])
                 best = h[at[np.argmax(weight[np.searchsorted(fixed, h[at])])]]
-                rows[key] = row = [host, best, toks, np.r_[hit, np.zeros(RUN, dtype=bool)][begins[b] : ends[b]][keep], 0, 0, 0, -1, 0]
+                rows[key] = row = [host, best, line, (starts[begins[b] : ends[b]][keep] + 48).tobytes().decode(), 0, 0, 0, -1, 0]
             p = page[b]
             row[4] |= 1 << int(articles[p])
             row[8] = row[8] + 1 if row[7] == p else 1
@@ -483,7 +534,12 @@ def _squeezed(items: list[Item]) -> list[Item]:
     return out
 
 
-WRAPPER = "host string, family long, tokens array<string>, optional array<boolean>, anchors array<boolean>, articles long, n long, often int"
+def _items(line: str, optional: str, anchors: str) -> list[Item]:
+    return [(SLOT if t == NOTHING else t, o == "1", x == "1") for t, o, x in zip(line.split(" "), optional, anchors, strict=True)]
+
+
+def _lines(items: list[Item]) -> tuple[str, str, str]:
+    return " ".join(NOTHING if t == SLOT else t for t, _, _ in items), "".join("01"[o] for _, o, _ in items), "".join("01"[x] for _, _, x in items)
 
 
 def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -491,27 +547,31 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     at, found = None, []
 
     def done() -> pd.DataFrame:
-        rows = [(*at[:2], *(list(x) for x in zip(*w)), bits - ((bits >> 63) << 64), n, often) for w, _, bits, n, often in found]
+        rows = [(*at[:2], *_lines(w), bits - ((bits >> 63) << 64), n, often) for w, _, bits, n, often in found]
         return pd.DataFrame(rows, columns=["host", "family", "tokens", "optional", "anchors", "articles", "n", "often"])
 
     for pdf in batches:
         salt = pdf["salt"] if "salt" in pdf else itertools.repeat(0)
-        for host, fam, toks, optional, anchors, bits, n, often, key in zip(*(pdf[c] for c in ("host", "family", "tokens", "optional", "anchors", "articles", "n", "often")), salt):
+        for host, fam, line, optional, anchors, bits, n, often, key in zip(*(pdf[c] for c in ("host", "family", "tokens", "optional", "anchors", "articles", "n", "often")), salt):
             if (host, fam, key) != at:
                 if found:
                     yield done()
                 at, found = (host, fam, key), []
             # Text that is optional already may stand or not: to another expression it is a slot.
-            plain = [t for t, _, _ in _squeezed([(SLOT, False, False) if o else (t, False, False) for t, o in zip(toks, optional)])]
-            line = "".join(f"{t or NOTHING} " for t in plain)
+            w = _items(line, optional, anchors)
+            if "1" in optional:
+                plain = [t for t, _, _ in _squeezed([(SLOT if o else t, False, False) for t, o, _ in w])]
+                line = " ".join(NOTHING if t == SLOT else t for t in plain)
+            else:
+                plain = [t for t, _, _ in w]
+            line += " "
             bits &= (1 << 64) - 1
-            for i, (w, made, b, m, o) in enumerate(found):
+            for i, (other, made, b, m, o) in enumerate(found):
                 known = made.fullmatch(line) is not None
-                if known or (got := align(w, plain)) is not None:
-                    found[i] = (*((w, made) if known else (got, re.compile(expression(got)))), b | bits, m + n, max(o, often))
+                if known or (got := align(other, plain)) is not None:
+                    found[i] = (*((other, made) if known else (got, re.compile(expression(got)))), b | bits, m + n, max(o, often))
                     break
             else:
-                w = list(zip(toks, optional, anchors))
                 found.append((w, re.compile(expression(w)), bits, n, often))
     if found:
         yield done()
@@ -519,14 +579,14 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _rule_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        items = [list(zip(*x)) for x in zip(pdf["tokens"], pdf["optional"], pdf["anchors"])]
+        items = [_items(*x) for x in zip(pdf["tokens"], pdf["optional"], pdf["anchors"])]
         yield pd.DataFrame({"host": pdf["host"], "expression": map(expression, items), "occurs": np.where(pdf["often"] > 1, "*", "?"), "pages": pdf["n"], "run": map(key_run, items)})
 
 
 def key_run(items: list[Item]) -> int:
     """Hash of the first fixed run of an expression; every text it matches has it."""
     i = next(i for i, item in enumerate(items) if item[2])
-    stream = [BEGIN if t == "^" and j == 0 else END if t == "$" and j == len(items) - 1 else xxhash.xxh32_intdigest(t) | 2 for j, (t, _, _) in enumerate(items[i : i + RUN], i)]
+    stream = [BEGIN if t == "^" and j == 0 else END if t == "$" and j == len(items) - 1 else KINDS.get(t) or int(_tokenised(t)[2][0]) for j, (t, _, _) in enumerate(items[i : i + RUN], i)]
     return int(runs_of(np.array(stream, dtype=np.uint32))[0][0])
 
 
@@ -577,7 +637,7 @@ def wrappers(expressions: DataFrame, runs: DataFrame) -> DataFrame:
     level = runs.where("host = '*'").select(F.col("run").alias("family"), F.lit("*").alias("level"))
     rows = expressions.join(level, "family", "left").withColumn("host", F.coalesce("level", "host"))
     rows = rows.groupBy("host", "family", "tokens", "anchors").agg(F.bit_or("articles").alias("articles"), F.sum("n").alias("n"), F.max("often").alias("often"))
-    rows = rows.withColumn("optional", F.transform("tokens", lambda _: F.lit(False))).withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(PARTS)))
+    rows = rows.withColumn("optional", F.translate("anchors", "1", "0")).withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(PARTS)))
     for key in (["host", "family", "salt"], ["host", "family"]):
         rows = rows.repartition(*key).sortWithinPartitions(*key, F.desc("n"), "tokens").mapInPandas(_fold_batches, WRAPPER)
     enough = F.bit_count("articles") >= F.when(F.col("host") == "*", ALL_ARTICLES).otherwise(HOST_ARTICLES)

@@ -205,37 +205,46 @@ def _tokenised(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         return (np.empty(0, dtype=np.int64),) * 4
     c = np.minimum(a, _TOP)
     kind = _CLASS[c]
-    beside = np.r_[np.uint8(0), kind, np.uint8(0)]
+    beside = np.zeros(len(a) + 2, dtype=np.uint8)
+    beside[1:-1] = kind
     around = np.where(beside[:-2] == beside[2:], beside[2:], 0)
     dot = a == 46
     joins = (around == _LETTER) & (dot | (a == 39) | (a == 0x2019) | (a == 45)) | (around == _DIGIT) & (dot | (a == 44))
     if joins.any():
         kind = np.where(joins, around, kind)
-    change = np.r_[True, kind[1:] != kind[:-1]] | (kind == _SIGN)
-    start = np.flatnonzero(change & (kind != _GAP))
-    end = np.flatnonzero(np.r_[change[1:], True] & (kind != _GAP)) + 1
+    change = np.ones(len(a) + 1, dtype=bool)
+    change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _SIGN)
+    solid = kind != _GAP
+    start, end = np.flatnonzero(change[:-1] & solid), np.flatnonzero(change[1:] & solid) + 1
     if not len(start):
         return (np.empty(0, dtype=np.int64),) * 4
     up, down = _powers(len(a))
-    total = np.r_[np.uint64(0), np.cumsum((_LOWER[c] + np.uint64(1)) * up[: len(a)], dtype=np.uint64)]
+    total = np.zeros(len(a) + 1, dtype=np.uint64)
+    np.cumsum((_LOWER[c] + np.uint64(1)) * up[: len(a)], dtype=np.uint64, out=total[1:])
     h = (total[end] - total[start]) * down[start]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
     code = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(8)
     line = np.cumsum(a == 10)[start]
-    first = np.r_[True, line[1:] != line[:-1]]
-    word, dots = kind[start] == _LETTER, np.r_[0, np.cumsum(dot)]
-    code[word & ~first & _CAPITAL[c[start]]] = KINDS["N"]
-    code[word & (dots[end] > dots[start]) & (end - start > 3)] = KINDS["@"]
+    later = np.zeros(len(start), dtype=bool)
+    later[1:] = line[1:] == line[:-1]
+    word, dots = kind[start] == _LETTER, np.cumsum(dot)
+    code[word & later & _CAPITAL[c[start]]] = KINDS["N"]
+    code[word & (dots[end - 1] > dots[start]) & (end - start > 3)] = KINDS["@"]
     code[(kind[start] == _DIGIT) | (a[start] == 35)] = KINDS["#"]
     code[a[start] == 64] = KINDS["@"]
     return start, end, code, line
 
 
-def tokens(block: str) -> list[str]:
-    """Lower-case words and signs; numbers, host names and, after the first word, capitalised words by kind."""
-    names = {v: k for k, v in KINDS.items()}
-    start, end, code, _ = _tokenised(block.replace("\n", " "))
-    return [names.get(k) or block[i:j].lower() for i, j, k in zip(start.tolist(), end.tolist(), code.tolist())]
+_NAMES = {v: k for k, v in KINDS.items()}
+
+
+def tokens(blocks: list[str]) -> list[list[str]]:
+    """Lower-case words and signs of each block; numbers, host names and, after the first word, capitalised words by kind."""
+    text = "\n".join(b.replace("\n", " ") for b in blocks)
+    start, end, code, line = _tokenised(text)
+    flat = [_NAMES.get(k) or text[i:j].lower() for i, j, k in zip(start.tolist(), end.tolist(), code.tolist())]
+    at = np.searchsorted(line, np.arange(len(blocks) + 1)).tolist()
+    return [flat[i:j] for i, j in zip(at, at[1:])]
 
 
 def codes(blocks: list[str]) -> np.ndarray:
@@ -324,6 +333,10 @@ def _merged(host: np.ndarray, run: np.ndarray, articles: np.ndarray, n: np.ndarr
     return host[first], run[first], np.bitwise_or.reduceat(articles, first), np.add.reduceat(n, first)
 
 
+#: Stands for the host in the counts of running text.
+LANGUAGE_HOST = " "
+
+
 def _run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         code, hosts = pd.factorize(pdf["host"].to_numpy(dtype=object))
@@ -341,7 +354,7 @@ def _run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts.append(_merged(host, h[at], bits, np.ones(len(at), dtype=np.int64)))
         if parts:
             host, run, articles, n = _merged(*(np.concatenate(x) for x in zip(*parts)))
-            yield pd.DataFrame({"host": np.r_[hosts, [None]].astype(object)[host], "run": run, "articles": articles, "n": n})
+            yield pd.DataFrame({"host": np.append(hosts, LANGUAGE_HOST)[host], "run": run, "articles": articles, "n": n})
 
 
 def _seen_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,10 +373,10 @@ def fixed_runs(blocks: DataFrame) -> DataFrame:
     together, and in running text anywhere at most LANGUAGE times as many occurrences as outside it. Articles are counted by the bits of a 64-bit map (of their
     titles' hash), so pages fetched again count once. One shuffle, of one row per batch, host and run.
     """
-    # Rows of running text have no host and no article bits. Both uses of ``seen`` filter on bits only, after the counts, so
-    # that they share one exchange.
-    seen = blocks.mapInPandas(_run_batches, "host string, run long, articles long, n long").repartition("run").groupBy("host", "run").agg(F.bit_or("articles").alias("articles"), F.sum("n").alias("n"))
-    outside = F.col("host").isNotNull()
+    # Rows of running text have no article bits. No use of ``seen`` filters anything that could be moved before the exchange,
+    # so all share it.
+    seen = blocks.mapInPandas(_run_batches, "host string, run long, articles long, n long").where("host is not null and run is not null").repartition("run").groupBy("host", "run").agg(F.bit_or("articles").alias("articles"), F.sum("n").alias("n"))
+    outside = F.col("host") != LANGUAGE_HOST
     total = seen.groupBy("run").agg(F.bit_or("articles").alias("every"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_out"), F.sum(F.when(outside, 0).otherwise(F.col("n"))).alias("n_in"))
     template = total.where((F.bit_count("every") >= HOST_ARTICLES) & (F.col("n_in") <= LANGUAGE * F.col("n_out")))
     per_host = blocks.groupBy("host").agg(F.count("*").alias("pages"))
@@ -408,10 +421,12 @@ def _given(given: dict[str, list], work):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict = {}
         for pdf in batches:
-            for host, part in pdf.groupby("host", sort=False):
+            # Hosts without rows of their own are all alike.
+            alike = pdf["host"].where(pdf["host"].isin(given), "*")
+            for host, part in pdf.groupby(alike, sort=False):
                 if host not in made:
-                    made[host] = work(given.get(host, []) + given.get("*", []))
-                yield from map(made[host], _portions(part))
+                    made[host] = work((given.get(host, []) if host != "*" else []) + given.get("*", []))
+                yield from map(made[host], _portions(part.assign(host=host)))
 
     return run
 
@@ -468,22 +483,20 @@ def _expression_batches(values: list):
         kept = np.where(cover, stream.astype(np.int64), -1)
         starts = np.r_[hit, np.zeros(min(RUN - 1, len(stream)), dtype=bool)].view(np.uint8)
         begins = np.flatnonzero(stream == BEGIN)
-        ends = np.r_[begins[1:], len(stream)]
+        ends = np.append(begins[1:], len(stream))
+        # Of a stretch without fixed text its first code stands for the slot.
+        first = cover | np.append(True, cover[:-1]) | (stream == BEGIN)
         texts = [x for b in part["blocks"] for x in b]
-        articles, host = part["article"].to_numpy(), part["host"].iloc[0]
-        rows: dict[bytes, list] = {}
+        articles, hosts = part["article"].to_numpy(), part["host"].to_numpy()
+        rows: dict[tuple, list] = {}
+        new: list[tuple[list, int]] = []
         for b in np.unique(block[: len(h)][hit]):
             shape = kept[begins[b] : ends[b]]
-            shape = shape[(shape >= 0) | np.r_[True, shape[:-1] >= 0]]
-            row = rows.get(key := shape.tobytes())
+            shape = shape[first[begins[b] : ends[b]]]
+            row = rows.get(key := (hosts[page[b]], shape.tobytes()))
             if row is None:
-                toks = ["^", *tokens(texts[b]), "$"]
-                mine = cover[begins[b] : ends[b]]
-                keep = mine | np.r_[True, mine[:-1]]
-                line = " ".join([t if m else NOTHING for t, m, k in zip(toks, mine, keep) if k])
-                at = begins[b] + np.flatnonzero(hit[begins[b] : ends[b]])
-                best = h[at[np.argmax(weight[np.searchsorted(fixed, h[at])])]]
-                rows[key] = row = [host, best, line, (starts[begins[b] : ends[b]][keep] + 48).tobytes().decode(), 0, 0, 0, -1, 0]
+                rows[key] = row = [hosts[page[b]], 0, "", "", 0, 0, 0, -1, 0]
+                new.append((row, b))
             p = page[b]
             row[4] |= 1 << int(articles[p])
             row[8] = row[8] + 1 if row[7] == p else 1
@@ -491,6 +504,13 @@ def _expression_batches(values: list):
             row[6], row[7] = max(row[6], row[8]), p
         for row in rows.values():
             row[4] -= (row[4] >> 63) << 64
+        for (row, b), toks in zip(new, tokens([texts[b] for _, b in new])):
+            lo, hi = begins[b], ends[b]
+            mine, at = cover[lo:hi].tolist(), np.flatnonzero(hit[lo:hi]) + lo
+            row[1] = h[at[np.argmax(weight[np.searchsorted(fixed, h[at])])]]
+            keep = [m or k == 0 or mine[k - 1] for k, m in enumerate(mine)]
+            row[2] = " ".join([t if m else NOTHING for t, m, k in zip(["^", *toks, "$"], mine, keep) if k])
+            row[3] = "".join([x for x, k in zip((starts[lo:hi] + 48).tobytes().decode(), keep) if k])
         return pd.DataFrame([r[:7] for r in rows.values()], columns=["host", "family", "tokens", "anchors", "articles", "n", "often"])
 
     return run
@@ -659,18 +679,19 @@ def _paragraph_batches(values: list):
         h, inside = runs_of(stream)
         at = np.flatnonzero(inside & _holds(keys, h))
         met: dict[int, set[int]] = {}
-        for b, k in zip(block[at], h[at]):
-            met.setdefault(int(b), set()).add(int(k))
+        asks = np.concatenate([np.asarray(x, dtype=bool) for x in part["inside"]])
+        at = at[asks[block[at]]]
+        for b, k in zip(block[at].tolist(), h[at].tolist()):
+            met.setdefault(b, set()).add(k)
+        texts = [x for blocks in part["blocks"] for x in blocks]
+        asked = sorted(met)
+        site = {b for b, toks in zip(asked, tokens([texts[b] for b in asked])) if any(e.fullmatch(" ".join(["^", *toks, "$", ""])) for k in met[b] for e in by_key[k])}
         rows, b = [], -1
         for kind, key, flags, blocks in zip(part["kind"], part["page_key"], part["inside"], part["blocks"]):
             kept = {}
             for flag, x in zip(flags, blocks):
                 b += 1
-                if flag and x not in kept and len(x.split()) >= LEAST_WORDS:
-                    if b in met:
-                        line = " ".join(["^", *tokens(x), "$", ""])
-                        if any(e.fullmatch(line) for k in met[b] for e in by_key[k]):
-                            continue
+                if flag and b not in site and len(x.split()) >= LEAST_WORDS:
                     kept[x] = None
             rows += [(kind, key, x) for x in kept]
         return pd.DataFrame(rows, columns=["kind", "page_key", "paragraph"])

@@ -93,9 +93,10 @@ def test_runs_follow_tokens():
     stream = B.codes([a, "", "Hello", b])
     h, inside = B.runs_of(stream)
     begins = [i for i, c in enumerate(stream) if c == B.BEGIN]
-    n = len(B.tokens(a))
-    assert len(begins) == 4 and inside.sum() == sum(len(B.tokens(x)) for x in (a, "", "Hello", b))
-    assert B.tokens(a) == B.tokens(b) and (h[:n] == h[begins[3] : begins[3] + n]).all() and len(set(h[:n])) == n
+    lists = B.tokens([a, "", "Hello", b])
+    n = len(lists[0])
+    assert len(begins) == 4 and inside.sum() == sum(map(len, lists)) and lists[1:3] == [[], ["hello"]]
+    assert lists[0] == lists[3] == "it is # mm at @ , N said .".split() and (h[:n] == h[begins[3] : begins[3] + n]).all() and len(set(h[:n])) == n
 
 
 def items(text, *anchors):
@@ -142,3 +143,8 @@ def test_blocks():
     title, blocks = B.html_blocks("<body><nav><p>menu item with words<h1>Title</h1><h2>Introduction</h2><div>A &amp; b <i>c</i>d<br>e</div><aside><p>off</p></aside><p>two</p></body>")
     assert title == "Title" and ("body", "A & b cde") in blocks and ("body", "two") in blocks and ("site", "off") in blocks
     assert B.html_blocks("")[1] == [] and B.line_blocks("")[1] == []
+
+
+def test_tokens():
+    assert B.tokens(["Don\u2019t e-mail i.e. Tom: 1,234.5 (3.) x466 \u2014 \xc9T\xc9"]) == ["don\u2019t e-mail i.e . N : # ( # . ) x # \u2014 N".split()]
+    assert B.tokens([]) == [] and B.tokens(["", "_ "]) == [[], []] and list(B.codes([])) == [] and list(B.codes([""])) == [B.BEGIN, B.END]

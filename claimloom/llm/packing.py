@@ -1,12 +1,13 @@
 """Problem 6: documents of varying length packed into windows of fixed capacity.
 
-Method: sum-of-squares online packing. Windows are kept only as counts per fill level. Each document goes to the
+Method: sum-of-squares online packing. Windows are kept only as counts per fill level. Each document, as it comes, goes to the
 fill level for which the sum of squared counts of partially filled windows grows least; ties go to the
 fuller level. A document over the capacity is cut: full windows first, and its rest is packed like any other.
 
-Every scan partition packs its own stream of documents, so nothing is shuffled, a task holds one level array, and a
-task that runs again on another executor gives the same windows. The unused space this costs is that of the
-windows left open at the end of each partition, a number that doesn't grow with the partition's rows.
+Every scan partition packs its own stream of documents, so a task holds one level array and the documents of its open
+windows, and a task that runs again on another executor gives the same windows. What is still open when a partition
+ends is packed once more, together with that of other partitions: their documents (ids and sizes, no texts), the largest
+first, by the same rule. Without that, many partitions of few documents would leave much space unused.
 """
 
 from __future__ import annotations
@@ -18,9 +19,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
+
+from claimloom.session import cut as checkpointed
 
 CAPACITY = 2048
+#: Partitions whose open windows are packed again together: 2 ** SHARED, a bounded number of documents for a task.
+SHARED = 6
 
 # Fixed value: the pattern that splits text before the merges of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,23 +91,52 @@ def cut(text: str, tokens: list[int], size: np.ndarray, capacity: int) -> list[t
     return out
 
 
+PIECE = "doc_id long, piece int, container_id long, token_offset int, n_tokens int, start_char int, end_char int, is_open boolean"
+_COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
+
+
+def _frame(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({"doc_id": "Int64", "container_id": "Int64", "token_offset": "Int64"})
+
+
 def _pack_batches(vocabulary: str, pattern: str, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding, size = tokenizer(vocabulary, pattern)
         packer, first = SumOfSquares(capacity), TaskContext.get().partitionId() << 40
+        held: dict[int, list[list]] = {}  # rows of the open windows
         for pdf in batches:
             rows: list[list] = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                doc = None if pd.isna(doc) else int(doc)
                 tokens = encoding.encode_ordinary(text) if text else []
                 parts = [(0, len(text or ""), len(tokens))] if len(tokens) <= capacity else cut(text, tokens, size, capacity)
-                rows += [[doc, i, None, None, n, a, b] for i, (a, b, n) in enumerate(parts)]
-            # Within what is at hand, long ones first: short ones then find gaps to fill.
-            for row in sorted(rows, key=lambda r: -r[4]):
-                if row[4]:
-                    window, row[3] = packer.place(row[4])
-                    row[2] = first + window
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "container_id", "token_offset", "n_tokens", "start_char", "end_char"])
-            yield out.astype({"container_id": "Int64", "token_offset": "Int64"})
+                for i, (a, b, n) in enumerate(parts):
+                    if not n:
+                        rows.append([doc, i, None, None, 0, a, b, False])
+                        continue
+                    window, at = packer.place(n)
+                    mine = held.setdefault(window, [])
+                    mine.append([doc, i, first + window, at, n, a, b, False])
+                    if at + n == capacity:
+                        rows += held.pop(window)
+            yield _frame(rows)
+        yield _frame([[*row[:-1], True] for rows in held.values() for row in rows])
+
+    return run
+
+
+def _again_batches(capacity: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, packer = None, SumOfSquares(capacity)
+        for pdf in batches:
+            where, at = [], []
+            for g, n in zip(pdf["group"], pdf["n_tokens"]):
+                if g != group:
+                    group, packer = g, SumOfSquares(capacity)
+                window, level = packer.place(int(n))
+                where.append((1 << 62) | (int(g) << 36) | window)
+                at.append(level)
+            yield pdf.assign(container_id=where, token_offset=at, is_open=False)[_COLUMNS]
 
     return run
 
@@ -113,7 +147,25 @@ def packed(documents: DataFrame, vocabulary: str, pattern: str = PATTERN, capaci
     Input: doc_id long, text string; other columns are ignored. ``vocabulary`` is the path of a rank file that
     every executor can read. A document within the capacity is one piece; pieces of a longer one are consecutive
     slices of its text. Null and empty texts have no tokens: one row, without a container. Repeated rows are
-    packed again. Tokens are those of the whole text, whatever its length.
+    packed again, null ids like any other. Tokens are those of the whole text, whatever its length.
     """
-    schema = "doc_id long, piece int, container_id long, token_offset int, n_tokens int, start_char int, end_char int"
-    return documents.select("doc_id", "text").mapInPandas(_pack_batches(vocabulary, pattern, capacity), schema)
+    rows = checkpointed(documents.select("doc_id", "text").mapInPandas(_pack_batches(vocabulary, pattern, capacity), PIECE))
+    left = rows.where("is_open").withColumn("group", F.shiftright("container_id", 40 + SHARED))
+    left = left.repartition("group").sortWithinPartitions("group", F.desc("n_tokens"), "container_id", "token_offset")
+    return rows.where("not is_open").unionByName(left.mapInPandas(_again_batches(capacity), PIECE)).drop("is_open")
+
+
+def checked(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row that tells whether ``packed`` rows are a packing: docs (first pieces), chars they cover, over_capacity (containers
+    filled beyond it), misplaced (pieces that don't begin where the one before ends), split_needlessly (cut documents that
+    would have fit), containers, fill (share of the containers' space that is used; null without containers)."""
+    before = Window.partitionBy("container_id").orderBy("token_offset")
+    some = F.col("container_id").isNotNull()  # pieces without tokens have none, and would be one group
+    p = pieces.where(some).withColumn("due", F.coalesce(F.lag(F.col("token_offset") + F.col("n_tokens")).over(before), F.lit(0))).unionByName(pieces.where(~some).withColumn("due", F.lit(0)))
+    one = p.groupBy("container_id").agg(
+        F.count_if(F.col("piece") == 0).alias("docs"), F.sum(F.col("end_char") - F.col("start_char")).alias("chars"), F.sum("n_tokens").alias("used"),
+        F.count_if((F.col("token_offset") != F.col("due")) & some).alias("misplaced"), F.count_if((F.col("piece") > 0) & (F.col("start_char") == 0)).alias("split_needlessly"))
+    n = F.count("container_id")
+    return one.agg(
+        F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.count_if((F.col("used") > capacity) & some).alias("over_capacity"),
+        F.coalesce(F.sum("misplaced"), F.lit(0)).alias("misplaced"), F.coalesce(F.sum("split_needlessly"), F.lit(0)).alias("split_needlessly"), n.alias("containers"), (F.sum("used") / F.when(n > 0, n * capacity)).alias("fill"))

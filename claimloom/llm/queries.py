@@ -63,6 +63,15 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), vocabulary_path())
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    c = packing.checked(p6_packed(spark, d))
+    return c.select("docs", "chars", "over_capacity", "misplaced", "split_needlessly", (F.col("fill") >= 0.95).alias("well_filled"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.checked(p6_packed(spark, d)).select("containers", "fill")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_matches(spark, d).where("kind = 'phrase'").select("doc_id", "item_id")
 
@@ -90,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_classes": p5_classes,
     "p5_forms": p5_forms,
     "p6_packed": p6_packed,
+    "p6_check": p6_check,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p8_found": p8_found,

@@ -74,4 +74,19 @@ def test_frames(spark, ranks):
         else:
             assert "".join(t[r["start_char"] : r["end_char"]] for r in parts) == t and all(r["n_tokens"] <= 50 for r in parts) and parts[0]["n_tokens"] == 50
     assert sum(n for s in fill.values() for _, n in s) / (50 * len(fill)) > 0.85
+    c = packing.checked(packing.packed(df, ranks, capacity=50), 50).first()
+    assert c["docs"] == len(texts) + 1 and c["chars"] == sum(len(t or "") for t in texts) + len(texts[0]) and c["fill"] == sum(n for s in fill.values() for _, n in s) / (50 * len(fill))
+    assert c["over_capacity"] == c["misplaced"] == c["split_needlessly"] == 0
+    bad = spark.createDataFrame([(1, 0, 7, 0, 40, 0, 40), (2, 0, 7, 30, 20, 0, 20), (3, 0, 8, 5, 5, 0, 5)], "doc_id long, piece int, container_id long, token_offset int, n_tokens int, start_char int, end_char int")
+    c = packing.checked(bad, 50).first()
+    assert (c["over_capacity"], c["misplaced"]) == (1, 2)
     assert packing.packed(df.limit(0), ranks).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_little_space_is_left_in_many_partitions(spark, ranks, parts):
+    rng = random.Random(8)
+    texts = ["a" * min(60, max(1, int(rng.gauss(22, 14)))) for _ in range(6000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a" * 9)], "doc_id long, text string").repartition(parts)
+    c = packing.checked(packing.packed(df, ranks, capacity=60), 60).first()
+    assert c["fill"] >= 0.98 and c["docs"] == 6001 and c["over_capacity"] == c["misplaced"] == 0

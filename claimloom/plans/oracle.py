@@ -267,6 +267,27 @@ def _works() -> str:
     return "WITH " + ",\n".join(steps)
 
 
+# All lists of the records, found by walking the JSON: a path is a list if it is one anywhere, and a single value there is a list of one.
+_PUBLISHED = "pv AS (SELECT record_id, k - 1 AS k, x FROM (SELECT record_id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM pl) WHERE coalesce(json_type(x), 'NULL') <> 'NULL')"
+
+
+def _lists() -> str:
+    more = [("ti", "w", "title"), ("ct", "w", "container-title"), ("asr", "w", "assertion"), ("pl2", "af", "place")]
+    level = lambda name, src, field: f"{name} AS (SELECT record_id, p, p || CASE WHEN p = '' THEN '' ELSE '/' END || k AS path, k, x FROM (SELECT record_id, p, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS k FROM (SELECT record_id, {'path' if src != 'w' else repr('')} AS p, {_list(f'x->{field!r}')} AS l FROM {src})) WHERE coalesce(json_type(x), 'NULL') <> 'NULL')"
+    dates = (
+        "ud AS (SELECT record_id, path AS p, x->'updated'->'date-parts' AS x FROM up), ul AS (SELECT record_id, p, CASE WHEN json_type(x) = 'ARRAY' AND list_has_any(json_type(x, ['$[0]', '$[1]', '$[2]', '$[3]']), ['ARRAY']) THEN json_extract(x, '$[*]') ELSE [x] END AS l FROM ud WHERE coalesce(json_type(x), 'NULL') <> 'NULL'),"
+        "uv AS (SELECT record_id, p, k - 1 AS k, p || '/' || (k - 1) AS path, x FROM (SELECT record_id, p, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM ul) WHERE coalesce(json_type(x), 'NULL') <> 'NULL')"
+    )
+    inner = lambda name, src: f"{name} AS (SELECT record_id, p, p || '/' || k AS path, k, x FROM (SELECT record_id, p, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS k FROM (SELECT record_id, {'path' if src == 'uv' else 'k::VARCHAR'} AS p, {_list('x')} AS l FROM {src})) WHERE coalesce(json_type(x), 'NULL') <> 'NULL')"
+    row = lambda child, src: f"SELECT record_id, '{child}' AS child, path, nullif(p, '') AS parent, k::INT AS ordinal FROM {src}"
+    old = lambda child, src: f"SELECT record_id, '{child}', path, nullif(array_to_string(string_split(path, '/')[:-2], '/'), ''), string_split(path, '/')[-1]::INT FROM {src}"
+    ctes = ", ".join([*(level(*m) for m in more), _PUBLISHED, inner("pi", "pv"), dates, inner("ui", "uv")])
+    pub = "SELECT record_id, 'published.date-parts', k::VARCHAR, NULL, k::INT FROM pv"
+    rows = [row("title", "ti"), row("container-title", "ct"), row("assertion", "asr"), row("author.affiliation.place", "pl2"), row("update-to.updated.date-parts", "uv"), row("update-to.updated.date-parts[]", "ui"), row("published.date-parts[]", "pi"), pub]
+    rows += [old(c, t) for c, t in (("author", "au"), ("author.affiliation", "af"), ("author.affiliation.id", "ai"), ("link", "li"), ("update-to", "up"))]
+    return f"{_works()}, {ctes} {' UNION ALL '.join(rows)}"
+
+
 SQL["p2_found"] = f"""{_works()}
 SELECT record_id, 'author' AS child, path FROM au UNION ALL SELECT record_id, 'affiliation', path FROM af UNION ALL SELECT record_id, 'affiliation_id', path FROM ai
 UNION ALL SELECT record_id, 'link', path FROM li WHERE json_type(x) = 'VARCHAR' OR coalesce(trim(x->>'URL'), '') <> '' UNION ALL SELECT record_id, 'update', path FROM up UNION ALL SELECT record_id, 'published', path FROM pu WHERE try_cast(p[1] AS INT) IS NOT NULL"""
@@ -278,6 +299,9 @@ def _list(x: str) -> str:
     return f"CASE WHEN coalesce(json_type({x}), 'NULL') = 'NULL' THEN [] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END"
 
 
+SQL["p2_lists"] = _lists()
+
+
 def _registry() -> str:
     """CTE r: the fields of each readable record."""
     s = "json_extract_string"

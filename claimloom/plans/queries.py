@@ -43,6 +43,12 @@ def p2_dates(spark: SparkSession, d: str) -> DataFrame:
     return nested.work_tables(table(spark, d, "registry_records"))["published"].select("record_id", "path", "year", "month", "day")
 
 
+@query
+def p2_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of every list that the records hold."""
+    return nested.list_rows(table(spark, d, "registry_records"))
+
+
 @query
 def p2_schema(spark: SparkSession, d: str) -> DataFrame:
     r = nested.parse_records(table(spark, d, "registry_records").select("record_id", "payload"), "payload")

@@ -62,6 +62,25 @@ def test_schema_and_generic_children(spark):
     assert got == {(1, "0/0"), (1, "0/2"), (2, "0/0")}
 
 
+def test_a_new_list_is_a_new_table(spark):
+    works = [{"author": ["A"]}, {"author": [{"name": "B", "role": ["x", None, "y"]}], "assertion": [{"n": 1}, "two"], "it's.odd": [[1, 2], [3]]}]
+    df = spark.createDataFrame([(i, json.dumps(w)) for i, w in enumerate(works)], "record_id long, payload string")
+    rows = {(r["record_id"], r["child"], r["path"], r["parent"]) for r in nested.list_rows(df).collect()}
+    assert rows == {
+        (0, "author", "0", None), (1, "author", "0", None), (1, "author.role", "0/0", "0"), (1, "author.role", "0/2", "0"), (1, "assertion", "0", None), (1, "assertion", "1", None),
+        (1, "it's\\.odd", "0", None), (1, "it's\\.odd", "1", None), (1, "it's\\.odd[]", "0/0", "0"), (1, "it's\\.odd[]", "0/1", "0"), (1, "it's\\.odd[]", "1/0", "1"),
+    }
+    # Without the schema's word that a role is a list, there is no such table.
+    assert set(nested.list_tables(df.where("record_id = 0"))) == {"author"}
+
+
+def test_any_depth_of_wrapping(spark):
+    deep = [WORK]
+    for i in range(9):
+        deep = [{"message": json.dumps(deep)}] if i % 2 else [[deep]]
+    assert rows(spark, [json.dumps(deep), json.dumps({"a": "message", "message": [[[[json.dumps({"message": [json.dumps(json.dumps(WORK))]})]]]]})]) == {0: EXPECTED, 1: EXPECTED}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "record_id long, payload string")
     assert nested.work_rows(df).count() == 0 and nested.merged_schema(nested.parse_records(df, "payload")).count() == 0

@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from claimloom.functions.text import tokens
+from claimloom.session import cut
 
 # The ranking's constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: A source with at least one chunk in so many is spread over several tasks; there are at most as many of them.
+HOT = 64
+
+
+def index(chunks: DataFrame, key: str = "chunk_id", source: str = "source_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(lengths, postings) of chunks: (source, key, chunk_len) and (source, key, chunk_len, term, tf), each chunk tokenised once.
+
+    Columns of ``chunks`` other than the text stay in both. Chunks without a token have no postings and don't count in any
+    statistic. Both are cut through the shared checkpoint folder: everything else is computed from them.
+    """
+    keep = [c for c in dict.fromkeys([source, key, *chunks.columns]) if c != text]
+    t = cut(chunks.select(*keep, tokens(F.col(text)).alias("_t"))).where(F.size("_t") > 0).withColumn("chunk_len", F.size("_t"))
+    columns = [*keep, "chunk_len"]
+    post = t.select(*columns, F.explode("_t").alias("term")).groupBy(*columns, "term").agg(F.count("*").alias("tf"))
+    return t.select(*columns), cut(post)
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", source: str = "source_id", text: str = "text") -> DataFrame:
-    """(source, key, chunk_len, term, tf). Chunks without a token have no postings and don't count in any statistic."""
-    t = chunks.select(source, key, tokens(F.col(text)).alias("_t")).where(F.size("_t") > 0)
-    return t.select(source, key, F.size("_t").alias("chunk_len"), F.explode("_t").alias("term")).groupBy(source, key, "chunk_len", "term").agg(F.count("*").alias("tf"))
+    """(source, key, chunk_len, term, tf) of ``index``."""
+    return index(chunks.select(source, key, text), key, source, text)[1]
 
 
 def term_stats(post: DataFrame, source: str = "source_id") -> DataFrame:
@@ -21,16 +36,24 @@ def term_stats(post: DataFrame, source: str = "source_id") -> DataFrame:
     return post.groupBy(source, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def corpus_stats(post: DataFrame, key: str = "chunk_id", source: str = "source_id") -> DataFrame:
-    """(source, n_chunks, avg_len)."""
-    return post.select(source, key, "chunk_len").distinct().groupBy(source).agg(F.count("*").alias("n_chunks"), F.avg("chunk_len").alias("avg_len"))
+def corpus_stats(lengths: DataFrame, source: str = "source_id") -> DataFrame:
+    """(source, n_chunks, avg_len) of chunks with their lengths, a row each."""
+    return lengths.groupBy(source).agg(F.count("*").alias("n_chunks"), F.avg("chunk_len").alias("avg_len"))
 
 
 def idf(stats: DataFrame, corpus: DataFrame, source: str = "source_id") -> DataFrame:
-    """(source, term, idf). Negative values become EPSILON times the mean over all terms of the source."""
+    """(source, term, idf, avg_len). Negative values become EPSILON times the mean over all terms of the source."""
     raw = stats.join(corpus, source).withColumn("_idf", F.ln(F.col("n_chunks") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.groupBy(source).agg(F.avg("_idf").alias("_mean"))
-    return raw.join(mean, source).select(source, "term", F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf")).alias("idf"))
+    return raw.join(mean, source).select(source, "term", F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf")).alias("idf"), "avg_len")
+
+
+def query_terms(queries: DataFrame, query: str = "query_id", source: str = "source_id") -> DataFrame:
+    """(query, source, n_terms, term, qtf). A query's text is tokenised once, however many sources it is put to."""
+    q = queries.select(query, source, "query_text", F.xxhash64("query_text").alias("_text"))
+    t = cut(q.select(query, "_text", "query_text").dropDuplicates([query, "_text"]).select(query, "_text", tokens(F.col("query_text")).alias("_t"))).where(F.size("_t") > 0)
+    terms = t.select(query, "_text", F.size(F.array_distinct("_t")).alias("n_terms"), F.explode("_t").alias("term")).groupBy(query, "_text", "n_terms", "term").agg(F.count("*").alias("qtf"))
+    return q.select(query, source, "_text").join(terms, [query, "_text"]).drop("_text")
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "query_id", source: str = "source_id", key: str = "chunk_id") -> DataFrame:
@@ -39,21 +62,24 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "query
     ``queries``: (query, source, query_text); ``chunks``: (source, key, chunk_index, text). A chunk must share a term with
     the query; scores may be negative (tiny corpora) and still rank. Order: score, overlap, chunk_index, key. Query
     terms count as often as they occur. Queries without tokens and sources without chunks give no row. Scores are rounded
-    to 9 places before they rank, so that the order of summation doesn't matter. The chunk statistics are joined to
-    postings only after the query's terms have selected them.
+    to 9 places before they rank, so that the order of summation doesn't matter.
+
+    Terms meet postings by (source, term). Postings of a source with much of the corpus are spread by their chunk's key over
+    parts, to each of which the terms asked of that source are sent; what is sent so is at most HOT times the terms.
     """
     if not 1 <= k <= 20:
         raise ValueError("k must be from 1 to 20")
-    post = postings(chunks, key, source, "text")
-    corpus = corpus_stats(post, key, source)
-    weights = idf(term_stats(post, source), corpus, source)
-    q = queries.select(query, source, tokens(F.col("query_text")).alias("_t")).where(F.size("_t") > 0)
-    terms = q.select(query, source, F.size(F.array_distinct("_t")).alias("n_terms"), F.explode("_t").alias("term")).groupBy(query, source, "n_terms", "term").agg(F.count("*").alias("qtf"))
-    weighted = terms.join(weights, [source, "term"]).join(corpus, source)
-    hits = weighted.join(post, [source, "term"])
+    lengths, post = index(chunks.select(source, key, "chunk_index", "text"), key, source)
+    corpus = corpus_stats(lengths, source)
+    weighted = query_terms(queries, query, source).join(idf(term_stats(post, source), corpus, source), [source, "term"])
+    every = lengths.count()
+    hot = F.broadcast(corpus.where(F.col("n_chunks") * HOT >= every).select(source, F.ceil(F.col("n_chunks") * HOT / max(1, every)).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    asked = weighted.join(hot, source, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    held = post.join(hot, source, "left").withColumn("_part", F.pmod(F.xxhash64(key), parts).cast("int")).drop("_parts")
+    hits = asked.join(held, [source, "term", "_part"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chunk_len") / F.col("avg_len")))
-    scored = hits.groupBy(query, source, key, "n_terms").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("overlap"))
-    scored = scored.join(chunks.select(source, key, "chunk_index"), [source, key])
+    scored = hits.groupBy(query, source, key, "chunk_index", "n_terms").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("overlap"))
     w = Window.partitionBy(query, source)
     order = [F.desc("score"), F.desc("overlap"), F.asc("chunk_index"), F.asc(key)]
     ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(*order)))

@@ -93,8 +93,11 @@ def _claim_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def claim_coverage(spark: SparkSession, d: str) -> DataFrame:
-    cov = T.coverage(T.content_stems(F.coalesce("claim_text", F.lit(""))), T.content_stems(F.coalesce("quote", F.lit(""))))
-    return _claim_pairs(spark, d).select("candidate_id", F.round(cov, 6).alias("coverage"), (cov >= batch.RELEVANT).alias("relevant"))
+    stems = lambda c: T.content_stems(F.coalesce(c, F.lit("")))
+    c = table(spark, d, "claims").select(F.col("id").alias("claim_id"), stems("claim_text").alias("claim_stems"))
+    e = table(spark, d, "evidence_candidates").select("candidate_id", "claim_id", stems("quote").alias("quote_stems"))
+    pairs = e.join(c, "claim_id").select("candidate_id", T.coverage(F.col("claim_stems"), F.col("quote_stems")).alias("c"))
+    return pairs.select("candidate_id", F.round("c", 6).alias("coverage"), (F.col("c") >= batch.RELEVANT).alias("relevant"))
 
 
 @query

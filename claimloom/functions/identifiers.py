@@ -104,6 +104,13 @@ def source_kind(c: Column) -> Column:
     return bind(bind(strip(c), parts), of)
 
 
+def safe_filename(c: Column) -> Column:
+    """The last part of a path with either kind of separator, without white space around the path; null if that isn't a name
+    (nothing, ``.`` or ``..``). Nothing in it can lead out of a folder."""
+    name = F.regexp_extract(F.translate(strip(c), "\\", "/"), r"([^/]*)$", 1)
+    return F.when(~name.isin("", ".", ".."), name)
+
+
 # IPv4 blocks that aren't globally reachable (first address, prefix length), and exceptions in them.
 PRIVATE_V4 = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4)]
 PUBLIC_V4 = [("192.0.0.9", 32), ("192.0.0.10", 32)]

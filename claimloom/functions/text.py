@@ -20,15 +20,20 @@ WORD = r"[a-zA-Z]+"
 NUMBER = r"(?<![\p{L}\p{N}_.])[+-]?(?:[0-9]+(?:[.,][0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?%?(?![\p{L}\p{N}_.])"
 
 # Words that say nothing about the subject of a claim.
-STOPWORDS = (
-    "a about above after all also an and any are as at be because been before being below between both but by can could did do does "
-    "down during each even few for from had has have he her here him his i if in into is it its just may me might more most must my no "
-    "not now of on only or other our out own said same shall she should so some such than that the their them then there these they this "
-    "those though through to too until up us very was we were what when where which while who whom whose will with would you your"
-).split()
+STOPWORDS = [
+    "a", "about", "above", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between",
+    "both", "but", "by", "can", "could", "did", "do", "does", "down", "during", "each", "even", "few", "for", "from", "had", "has", "have", "he", "her",
+    "here", "him", "his", "i", "if", "in", "into", "is", "it", "its", "just", "may", "me", "might", "more", "most", "must", "my", "no", "not", "now",
+    "of", "on", "only", "or", "other", "our", "out", "own", "said", "same", "shall", "she", "should", "so", "some", "such", "than", "that", "the",
+    "their", "them", "then", "there", "these", "they", "this", "those", "though", "through", "to", "too", "until", "up", "us", "very", "was", "we",
+    "were", "what", "when", "where", "which", "while", "who", "whom", "whose", "will", "with", "would", "you", "your",
+]
 
 # Suffixes of the stemmer; the longest that leaves three letters goes.
-SUFFIXES = "izations ational fulness ousness iveness ization alising alizing alised alized ements alise alize alism aliti ement eness ities izers izer ment ate ify ion ity".split()
+SUFFIXES = [
+    "izations", "ational", "fulness", "ousness", "iveness", "ization", "alising", "alizing", "alised", "alized", "ements", "alise", "alize", "alism",
+    "aliti", "ement", "eness", "ities", "izers", "izer", "ment", "ate", "ify", "ion", "ity",
+]
 VERB_ENDINGS = ("edly", "ingly", "ing", "ed")
 
 

@@ -20,18 +20,56 @@ BROKEN = frozenset(["p", "div", "section", "h1", "h2", "h3", "h4"])
 _DROP_MARK = re.compile(r"abstract|references|bibliography|related|cookie|advert", re.I)
 _BODY_MARK = re.compile(r"article-body|article__body|article-content|fulltext|full-text|body-section", re.I)
 _SKIP = re.compile(r"(?:\d+[.\s]*)?(?:abstract|references|bibliography|related articles)")
+TITLES = ("h2", "h3", "h4")
 _CHARSET = re.compile(r"charset=([\w-]+)", re.I)
 
 
+class _Body:
+    """A candidate for the article: its text and headings, gathered while its element is open."""
+
+    def __init__(self, rank: int, depth: int):
+        self.rank, self.depth = rank, depth
+        self.parts: list[str] = []
+        self.headings: list[str] = []
+        self.quiet = False  # within a section that isn't body
+
+    def say(self, text: str) -> None:
+        if not self.quiet:
+            self.parts.append(text)
+
+    def section(self, words: list[str]) -> None:
+        """A heading opens a section; one of those left out silences the body up to the next heading."""
+        name = " ".join(words).strip().lower()
+        self.quiet = bool(_SKIP.match(name))
+        if name and not self.quiet:
+            self.headings.append(name)
+        for w in words:
+            self.say(w)
+
+
+def unseen(tag: str, attrs: dict[str, str]) -> bool:
+    """Elements whose text isn't the page's: dropped tags, hidden ones, and those whose id, class or role marks them."""
+    if tag in DROPPED or attrs.get("aria-hidden") == "true":
+        return True
+    return "hidden" in attrs or any(_DROP_MARK.search(attrs[k]) for k in attrs.keys() & {"id", "class", "role"})
+
+
+def body_rank(tag: str, attrs: dict[str, str]) -> int | None:
+    """How good a candidate an element is, 0 best: a body by its id or class, an article, the main part; None: no candidate."""
+    if tag in ("article", "main"):
+        return 1 if tag == "article" else 2
+    return 0 if any(_BODY_MARK.search(attrs[k]) for k in attrs.keys() & {"id", "class"}) else None
+
+
 class Article(HTMLParser):
-    """One pass over a page. Open elements know whether they are ignored; candidate bodies gather their text, headings and rank
-    while they are open, so no tree is built."""
+    """One pass over a page, in which no tree is built: open elements know whether they are seen, candidates listen while
+    they are open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
-        self.bodies: list[dict] = []
-        self.live: list[dict] = []
+        self.bodies: list[_Body] = []
+        self.live: list[_Body] = []
         self.meta: dict[str, str] = {}
         self.count = 0
         self.failed = ""
@@ -46,62 +84,48 @@ class Article(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta":
             self.meta[a.get("name", a.get("property", "")).lower()] = a.get("content", "")
-        mark = " ".join(a.get(k, "") for k in ("id", "class", "role"))
-        hidden = (self.open[-1][1] if self.open else False) or tag in DROPPED or "hidden" in a or a.get("aria-hidden") == "true" or _DROP_MARK.search(mark) is not None
         if tag in VOID:
             return
         if len(self.open) >= MOST_DEPTH:
             self.failed = "DEPTH_LIMIT"
             return
-        self.open.append((tag, hidden))
-        if hidden:
+        silent = bool(self.open) and self.open[-1][1] or unseen(tag, a)
+        self.open.append((tag, silent))
+        if silent:
             return
-        container = _BODY_MARK.search(" ".join(a.get(k, "") for k in ("class", "id"))) is not None
         if tag in BROKEN:
-            self._add("\n")
-        if tag in ("h2", "h3", "h4"):
+            self._say("\n")
+        if tag in TITLES:
             self.heading = []
-        if container or tag in ("article", "main"):
-            body = {"rank": 0 if container and tag not in ("article", "main") else 1 if tag == "article" else 2 if tag == "main" else 0, "depth": len(self.open), "parts": [], "headings": [], "skip": False}
-            self.bodies.append(body)
-            self.live.append(body)
+        if (rank := body_rank(tag, a)) is not None:
+            self.live.append(_Body(rank, len(self.open)))
+            self.bodies.append(self.live[-1])
 
     def handle_endtag(self, tag: str) -> None:
         k = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
         if k < 0 or self.failed:
             return
         while len(self.open) > k:
-            name, hidden = self.open.pop()
-            if not hidden:
-                if name in ("h2", "h3", "h4"):
-                    self._close_heading()
-                if name in BROKEN:
-                    self._add("\n")
-            self.live = [b for b in self.live if b["depth"] <= len(self.open)]
+            name, silent = self.open.pop()
+            if not silent and name in TITLES:
+                for body in self.live:
+                    body.section(self.heading or [])
+                self.heading = None
+            if not silent and name in BROKEN:
+                self._say("\n")
+            self.live = [b for b in self.live if b.depth <= len(self.open)]
 
     def handle_data(self, data: str) -> None:
         if self.failed or (self.open and self.open[-1][1]):
             return
-        (self.heading if self.heading is not None else self).append(data)
-
-    def append(self, data: str) -> None:
-        self._add(data)
-
-    def _add(self, data: str) -> None:
-        for b in self.live:
-            if not b["skip"]:
-                b["parts"].append(data)
+        if self.heading is not None:
+            self.heading.append(data)
+        else:
+            self._say(data)
 
-    def _close_heading(self) -> None:
-        name = " ".join(self.heading or []).strip().lower()
-        skip = _SKIP.match(name) is not None
-        for b in self.live:
-            b["skip"] = skip
-            if name and not skip:
-                b["headings"].append(name)
-        for part in self.heading or []:
-            self._add(part)
-        self.heading = None
+    def _say(self, text: str) -> None:
+        for body in self.live:
+            body.say(text)
 
 
 def read_article(data: bytes, content_type: str | None) -> dict:
@@ -119,10 +143,10 @@ def read_article(data: bytes, content_type: str | None) -> dict:
     if parser.failed:
         return {"accepted": False, "reason": parser.failed, "raw": None, "sections": [], "headings": 0}
     best = None
-    for body in sorted(parser.bodies, key=lambda b: b["rank"])[:MOST_BODIES]:
-        raw = " ".join(body["parts"])
-        sections = sorted(k for k in SECTIONS if any(k in h for h in body["headings"]))
-        row = {"accepted": False, "reason": "INCOMPLETE", "raw": raw, "sections": sections, "headings": len(body["headings"])}
+    for body in sorted(parser.bodies, key=lambda b: b.rank)[:MOST_BODIES]:
+        raw = " ".join(body.parts)
+        sections = sorted(k for k in SECTIONS if any(k in h for h in body.headings))
+        row = {"accepted": False, "reason": "INCOMPLETE", "raw": raw, "sections": sections, "headings": len(body.headings)}
         if len(sections) >= LEAST_SECTIONS and len(" ".join(raw.split())) >= LEAST_CHARS:
             return row | {"accepted": True, "reason": "OK"}
         best = best or row

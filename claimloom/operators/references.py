@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from claimloom.functions.identifiers import has_credentials, normalize_doi, unquoted
+from claimloom.functions.identifiers import has_credentials, normalize_doi
 from claimloom.functions.text import comparable, compared, strip
 from claimloom.operators.nested import as_list, parse_records
 from claimloom.session import cut
 
 #: A registry record: doi, title, authors, years, publisher, container_title, url, full_text_urls, registry.
 RECORD = ["doi", "title", "authors", "years", "publisher", "container_title", "url", "full_text_urls", "registry"]
-#: Candidates a query without DOI may have, addresses tried per work.
-CANDIDATES, ADDRESSES = 5, 6
+#: Addresses tried per work.
+ADDRESSES = 6
 DATE_FIELDS = ("published", "published-print", "published-online", "issued")
 
 
@@ -146,8 +146,8 @@ def resolve(refs: DataFrame, registry: DataFrame, key: str = "ref_id") -> DataFr
 
     refs: key, doi, title, authors array, year string, publisher, container_title, citation (null: not given). With a DOI the record of
     that DOI is meant. Without one, a structured title must equal a record's title; a citation must contain it. Records
-    are looked up by equality (DOI; title in comparable form); a citation's candidates are records that share its
-    longest name-like words, so no reference meets the whole registry. Refused input has status INVALID_INPUT.
+    are looked up by equality (DOI; title in comparable form); a citation's candidates are records of whose title it has the
+    rarest word, so no reference meets the whole registry. Refused input has status INVALID_INPUT.
     """
     r = refs.withColumn("violation", reference_violation(refs)).withColumn("q_doi", normalize_doi(F.coalesce("doi", "citation")))
     r = _with_names(r.withColumnRenamed("authors", "authors_given"), "authors_given", "g_names").withColumnRenamed("authors_given", "authors")
@@ -159,9 +159,8 @@ def resolve(refs: DataFrame, registry: DataFrame, key: str = "ref_id") -> DataFr
     by_doi = valid.where("q_doi is not null").join(p, F.col("q_doi") == F.col("r_doi"), "left").withColumn("matched", F.col("r_doi").isNotNull())
     by_title = valid.where("q_doi is null and title is not null").join(p, F.col("title_c") == F.col("r_title_c"), "left").withColumn("matched", F.col("r_doi").isNotNull())
     cites = valid.where("q_doi is null and title is null")
-    keyed = p.withColumn("probe", _probe("r_title_c"))
-    probes = cites.select(key, F.explode(F.array_distinct(_probes("citation_c"))).alias("probe"))
-    pairs = probes.join(keyed.select("probe", "r_doi"), "probe").select(key, "r_doi").distinct()
+    probes = cites.select(key, F.explode(_words("citation_c")).alias("probe"))
+    pairs = probes.join(rarest_words(p.where("r_title_c <> ''"), "r_doi", "r_title_c"), "probe").select(key, "r_doi")
     found = cites.join(pairs, key).join(p, "r_doi").where(_raw_match())
     by_text = cites.join(found.select(key, *p.columns), key, "left").withColumn("matched", F.col("r_doi").isNotNull())
     cols = [key, "q_doi", "doi", "title", "authors", "year", "publisher", "container_title", "citation", "title_c", "publisher_c", "container_title_c", "citation_c", "g_names", *p.columns, "matched"]
@@ -195,16 +194,16 @@ def resolve(refs: DataFrame, registry: DataFrame, key: str = "ref_id") -> DataFr
     return out.select(key, "doi", verdict.alias("verdict"), st.alias("status"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), "checks")
 
 
-def _probe(c: str) -> Column:
-    """A title's lookup key: its longest words, in order, as many as three."""
-    w = F.array_distinct(F.split(F.col(c), " "))
-    longest = F.slice(F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), 1, 1)
-    return F.get(F.transform(longest, lambda x: x["w"]), F.lit(0))
+def _words(c: str) -> Column:
+    return F.array_distinct(F.split(F.col(c), " "))
 
 
-def _probes(c: str) -> Column:
-    """A citation's lookup keys: every word, since any of them may be the longest of a title."""
-    return F.split(F.col(c), " ")
+def rarest_words(titles: DataFrame, key: str, c: str) -> DataFrame:
+    """(key, probe): the word of each title that the fewest titles hold. A text that contains a title contains this word, and few
+    titles share it, however common the title's other words are."""
+    words = titles.select(key, F.explode(_words(c)).alias("word"))
+    n = words.groupBy("word").agg(F.count("*").alias("n"))
+    return words.join(n, "word").groupBy(key).agg(F.min_by("word", F.struct("n", "word")).alias("probe"))
 
 
 def gated(resolved: DataFrame, verdicts: DataFrame, key: str = "ref_id") -> DataFrame:
@@ -231,5 +230,3 @@ def identity_in_text(doi: Column, title: Column, text: Column) -> Column:
     opening = F.substring(text, 1, 4000)
     return F.contains(F.lower(opening), F.lower(doi)) | F.contains(compared(opening), compared(title))
 
-
-__all__ = ["author_match", "candidate_urls", "gated", "identity_in_text", "prepared", "reference_violation", "registry_records", "registry_table", "resolve", "title_ratio", "unquoted"]

@@ -131,12 +131,13 @@ sc AS (SELECT query_id, source_id, chunk_id, n_terms, round(sum(qtf * idf * tf *
 rk AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id, sc.source_id ORDER BY score DESC, overlap DESC, chunk_index, sc.chunk_id) AS rank FROM sc JOIN ch USING (source_id, chunk_id))
 SELECT query_id, source_id, rank, chunk_id, round(score, 6) AS score, overlap, round(overlap::DOUBLE / n_terms, 6) AS overlap_ratio FROM rk WHERE rank <= 5"""
 
-SQL["exact_occurrences"] = """WITH c AS (SELECT id, list_filter(range(0, length(text) - 2), lambda i: substring(text, i + 1, 3) = left(text, 3)) AS p FROM chunks WHERE length(text) >= 3)
-SELECT id, len(p) AS n, list_max(p) AS last FROM c"""
-SQL["exact_quote"] = f"""WITH c AS (SELECT id, text, substring(text, 11, least(25, length(text) - 10)) AS q FROM chunks WHERE length(text) >= 40),
-o AS (SELECT id, q, CASE WHEN {_strip('q')} = '' THEN [] ELSE list_filter(range(0, length(text) - length(q) + 1), lambda i: substring(text, i + 1, length(q)) = q) END AS p FROM c)
-SELECT id, len(p) = 1 AS verified, CASE WHEN {_strip('q')} = '' THEN 'INVALID_QUOTE' WHEN len(p) = 0 THEN 'QUOTE_NOT_FOUND' WHEN len(p) = 1 THEN 'EXACT_MATCH' ELSE 'AMBIGUOUS_MULTIPLE_OCCURRENCES' END AS reason,
- CASE WHEN len(p) = 1 THEN p[1] END AS start_char, CASE WHEN len(p) = 1 THEN p[1] + length(q) END AS end_char, len(p) AS occurrence_count FROM o"""
+_QUOTES = f"""q AS (SELECT candidate_id, text, CASE WHEN candidate_id % 8 < 2 THEN quote WHEN candidate_id % 8 < 4 THEN substring(text, least(candidate_id % 900, length(text) - 1) + 1, 40) WHEN candidate_id % 8 < 6 THEN left(text, 5) WHEN candidate_id % 8 = 6 THEN '  ' END AS q
+ FROM evidence_candidates e JOIN chunks c ON c.id = e.chunk_id),
+o AS (SELECT *, CASE WHEN text IS NULL OR q IS NULL THEN NULL WHEN {_strip('q')} = '' OR NOT contains(text, q) THEN [] ELSE list_filter(range(0, length(text) - length(q) + 1), lambda i: starts_with(substring(text, i + 1, length(q)), q)) END AS p FROM q)"""
+SQL["exact_occurrences"] = f"WITH {_QUOTES} SELECT candidate_id, len(p) AS n, list_max(p) AS last FROM o"
+SQL["exact_quote"] = f"""WITH {_QUOTES}
+SELECT candidate_id, coalesce(len(p), 0) = 1 AS verified, CASE WHEN coalesce({_strip('q')}, '') = '' THEN 'INVALID_QUOTE' WHEN coalesce(len(p), 0) = 0 THEN 'QUOTE_NOT_FOUND' WHEN len(p) = 1 THEN 'EXACT_MATCH' ELSE 'AMBIGUOUS_MULTIPLE_OCCURRENCES' END AS reason,
+ CASE WHEN len(p) = 1 THEN p[1] END AS start_char, CASE WHEN len(p) = 1 THEN p[1] + length(q) END AS end_char, coalesce(len(p), 0) AS occurrence_count FROM o"""
 SQL["exact_span"] = f"""WITH e AS (SELECT candidate_id, quote, text, e.start_char - c.start_char AS s, e.end_char - c.start_char AS t FROM evidence_candidates e JOIN chunks c ON c.id = e.chunk_id),
 r AS (SELECT candidate_id, CASE WHEN NOT coalesce(s >= 0 AND s < t AND t <= length(text) AND {_strip('quote')} <> '', false) THEN 'INVALID_SPAN' WHEN substring(text, s + 1, t - s) = quote THEN 'EXACT_MATCH' ELSE 'SPAN_TEXT_MISMATCH' END AS reason FROM e)
 SELECT candidate_id, reason = 'EXACT_MATCH' AS verified, reason FROM r"""
@@ -193,8 +194,8 @@ SQL["chunk_replace"] = """WITH l AS (SELECT paper_id, content_hash, chunk_index,
 SELECT paper_id, content_hash, row_number() OVER (PARTITION BY paper_id, content_hash ORDER BY chunk_index) - 1 AS new_index, id FROM l"""
 SQL["content_dedup"] = f"SELECT sha256(text) AS content_hash, max(length(text)) AS n_chars, count(*) AS n_copies FROM source_documents WHERE {_strip('text')} <> '' GROUP BY 1"
 SQL["content_integrity"] = "SELECT source_id, CASE WHEN text IS NULL THEN 'NO_TEXT' WHEN NOT coalesce(regexp_full_match(lower(content_hash), '[0-9a-f]{64}'), false) THEN 'NO_HASH' WHEN lower(content_hash) = sha256(text) THEN 'OK' ELSE 'MISMATCH' END AS state FROM source_documents"
-SQL["cache_misses"] = "SELECT source_id, canonical_id FROM source_documents s WHERE NOT EXISTS (SELECT 1 FROM papers p WHERE p.canonical_id = s.canonical_id AND p.content_hash = s.content_hash)"
-SQL["orphan_evidence"] = "SELECT candidate_id, chunk_id FROM evidence_candidates e WHERE chunk_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.id = e.chunk_id)"
+SQL["cache_misses"] = "SELECT source_id, normalized_text_path FROM source_documents s WHERE NOT EXISTS (SELECT 1 FROM papers p WHERE p.normalized_text_path = s.normalized_text_path)"
+SQL["orphan_evidence"] = "SELECT candidate_id, chunk_id FROM evidence_candidates e WHERE chunk_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT max(id) AS id FROM chunks GROUP BY paper_id, content_hash, chunk_index) c WHERE c.id = e.chunk_id)"
 SQL["store_counts"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("papers", "chunks", "claims", "evidence_candidates"))
 
 # -- identifiers -----------------------------------------------------------------------------------------------------------
@@ -238,6 +239,9 @@ def _blocked(n: str) -> str:
     return f"({' OR '.join(parts)}) AND {n} NOT IN ({192 * 2**24 + 9}, {192 * 2**24 + 10})"
 
 
+SQL["file_names"] = f"""SELECT DISTINCT source_id, path, CASE WHEN name NOT IN ('', '.', '..') THEN name END AS name FROM (SELECT source_id, path, string_split(replace({_strip('path')}, '\\', '/'), '/')[-1] AS name FROM (SELECT source_id, unnest([raw_path, normalized_text_path, source_input]) AS path FROM source_documents)) WHERE path IS NOT NULL"""
+SQL["public_hosts"] = """SELECT resource_id, 'https://' || CASE resource_id % 10 WHEN 0 THEN '[::ffff:10.0.0.' || resource_id % 256 || ']' WHEN 1 THEN '[2001:4860::' || lower(to_hex(resource_id)) || ']' WHEN 2 THEN '[fe80::' || lower(to_hex(resource_id)) || ']' WHEN 3 THEN '[fc00::1:' || lower(to_hex(resource_id)) || ']'
+ WHEN 4 THEN (resource_id + 2130706433)::VARCHAR WHEN 5 THEN (resource_id + 134744072)::VARCHAR WHEN 6 THEN '0x7f' || lpad(lower(to_hex(resource_id)), 6, '0') WHEN 7 THEN 'localhost.' WHEN 8 THEN '[::1]' ELSE '[2001:db8::5]' END || ':443/a' AS address, resource_id % 10 IN (1, 5) AS is_public FROM resources"""
 SQL["public_ip"] = f"""WITH a AS (SELECT resource_id, url, ['10','100','127','169','172','192','198','203','8','240'][resource_id % 10 + 1] AS p, ['0','64','127','254','16','32','168','18','51','128'][(resource_id // 10) % 10 + 1] AS q, resource_id * 7 % 256 AS r, resource_id * 13 % 256 AS s FROM resources),
 b AS (SELECT *, 'http://' || p || '.' || q || '.' || r || '.' || s || ':8080/x' AS address, ((p::BIGINT * 256 + q::BIGINT) * 256 + r) * 256 + s AS n FROM a)
 SELECT resource_id, address, NOT ({_blocked('n')}) AS address_public, coalesce({_http('trim(url)')} AND {_host('trim(url)')} <> '' AND {_host('trim(url)')} NOT IN ('localhost', 'localhost.localdomain'), NULL) AS url_public FROM b"""

@@ -207,17 +207,26 @@ def batch_totals(spark: SparkSession, d: str) -> DataFrame:
 # -- provenance ------------------------------------------------------------------------------------------------------
 
 
+def _quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence with the whole text of its chunk. A quarter of the quotes are stored ones (mostly not slices of the chunk), a quarter
+    are slices of it, a quarter its first five characters, the rest blank or missing."""
+    c = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "text")
+    k = F.col("candidate_id") % 8
+    slice_ = F.substring("text", F.least(F.col("candidate_id") % 900, F.length("text") - 1).cast("int") + 1, F.lit(40))
+    quote = F.when(k < 2, F.col("quote")).when(k < 4, slice_).when(k < 6, F.substring("text", 1, 5)).when(k == 6, F.lit("  "))
+    return table(spark, d, "evidence_candidates").select("candidate_id", "chunk_id", "quote").join(c, "chunk_id").select("candidate_id", "text", quote.alias("quote"))
+
+
 @query
 def exact_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").where("length(text) >= 3").withColumn("needle", F.substring("text", 1, 3))
-    at = provenance.occurrences(F.col("text"), F.col("needle"))
-    return c.withColumn("at", at).select("id", F.size("at").alias("n"), F.array_max("at").alias("last"))
+    at = provenance.occurrences(F.col("text"), F.col("quote"))
+    return _quotes(spark, d).select("candidate_id", at.alias("at")).select("candidate_id", F.when(F.col("at").isNotNull(), F.size("at")).alias("n"), F.array_max("at").alias("last"))
 
 
 @query
 def exact_quote(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").where("length(text) >= 40").withColumn("quote", F.substring("text", F.lit(11), F.least(F.lit(25), F.length("text") - 10)))
-    return c.select("id", provenance.verify_quote(F.col("text"), F.col("quote")).alias("v")).select("id", "v.verified", "v.reason", "v.start_char", "v.end_char", "v.occurrence_count")
+    v = provenance.verify_quote(F.col("text"), F.col("quote")).alias("v")
+    return _quotes(spark, d).select("candidate_id", v).select("candidate_id", "v.verified", "v.reason", "v.start_char", "v.end_char", "v.occurrence_count")
 
 
 @query
@@ -346,14 +355,15 @@ def content_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Sources without a stored paper of the same content."""
-    p = table(spark, d, "papers").select("canonical_id", "content_hash").where("content_hash is not null")
-    return table(spark, d, "source_documents").join(p, ["canonical_id", "content_hash"], "left_anti").select("source_id", "canonical_id")
+    """Sources of which no paper has the stored text."""
+    p = table(spark, d, "papers").select("normalized_text_path").where("normalized_text_path is not null")
+    return table(spark, d, "source_documents").join(p, "normalized_text_path", "left_anti").select("source_id", "normalized_text_path")
 
 
 @query
 def orphan_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return store.orphans(table(spark, d, "evidence_candidates"), table(spark, d, "chunks"), "chunk_id", "id").select("candidate_id", "chunk_id")
+    """Evidence of chunks that a later delivery replaced."""
+    return store.orphans(table(spark, d, "evidence_candidates"), _corpus(spark, d), "chunk_id", "chunk_id").select("candidate_id", "chunk_id")
 
 
 @query
@@ -374,6 +384,23 @@ def url_canonical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "resources").select("resource_id", I.canonical_url(F.col("url")).alias("canonical_url"), I.host(F.trim("url")).alias("host"))
 
 
+@query
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "source_documents").select("source_id", F.explode(F.array("raw_path", "normalized_text_path", "source_input")).alias("path"))
+    return t.where("path is not null").select("source_id", "path", I.safe_filename(F.col("path")).alias("name")).distinct()
+
+
+@query
+def public_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses in all forms, made from the rows' numbers."""
+    n = F.col("resource_id")
+    h = F.element_at(F.array(
+        F.concat(F.lit("[::ffff:10.0.0."), n % 256, F.lit("]")), F.concat(F.lit("[2001:4860::"), F.lower(F.hex(n)), F.lit("]")), F.concat(F.lit("[fe80::"), F.lower(F.hex(n)), F.lit("]")),
+        F.concat(F.lit("[fc00::1:"), F.lower(F.hex(n)), F.lit("]")), (n + 2130706433).cast("string"), (n + 134744072).cast("string"), F.concat(F.lit("0x7f"), F.lpad(F.lower(F.hex(n)), 6, "0")), F.lit("localhost."), F.lit("[::1]"), F.lit("[2001:db8::5]")), (n % 10 + 1).cast("int"))
+    r = table(spark, d, "resources").select("resource_id", F.concat(F.lit("https://"), h, F.lit(":443/a")).alias("address"))
+    return r.select("resource_id", "address", I.is_public_url(F.col("address")).alias("is_public"))
+
+
 @query
 def public_ip(spark: SparkSession, d: str) -> DataFrame:
     octet = lambda m, k: F.pmod(F.col("resource_id") * m, F.lit(k)).cast("string")

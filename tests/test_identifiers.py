@@ -51,3 +51,8 @@ def test_public_addresses_in_all_forms(spark):
     assert dict(zip(numbers, run(spark, I.is_public_url, [f"http://{h}/" for h in numbers]))) == numbers
     names = {"http://localhost./": False, "http://[3fff::1]/": False, "http://a.localhost/": False, "http://[::1": False, "http://[nonsense]/": False, "http://[fe80::1%25eth0]/": False, "http://a.example./": True, "http://user@[::1]:80/": False, "http://x1.example": True, None: False}
     assert dict(zip(names, run(spark, I.is_public_url, list(names)))) == names
+
+
+def test_safe_filename(spark):
+    cases = {"../../secret.txt": "secret.txt", "C:\\Windows\\file": "file", " a b.pdf ": "a b.pdf", "x/": None, "..": None, ".": None, "": None, "a\\..": None, "...": "...", None: None}
+    assert dict(zip(cases, run(spark, I.safe_filename, list(cases)))) == cases

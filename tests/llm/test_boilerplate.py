@@ -115,6 +115,11 @@ def test_alignment_makes_slots_and_optional_groups():
     e = re.compile(B.expression(w))
     assert e.fullmatch("^ we use a b c to measure visits . $ ") and not e.fullmatch("^ we use a to count visits . $ ")
     assert B.align(w, "^ the reef lost all of its colour . $".split()) is None  # another text
+    r = random.Random(2)
+    for _ in range(300):
+        x, y = ([r.choice("abcdef_") for _ in range(r.randint(3, 9))] for _ in range(2))
+        if B.align(items(" ".join(x), 0, 2), [t if t != "_" else B.SLOT for t in y]) is not None:
+            assert B.may_align(items(" ".join(x), 0, 2), [t if t != "_" else B.SLOT for t in y])
     assert B.align(items("^ a b c d e f g $", 6), "^ a b c d e x y $".split()) is None  # agrees, but on no fixed run
 
 

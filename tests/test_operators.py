@@ -94,6 +94,43 @@ def test_bm25_against_brute_force(spark):
         retrieval.top_k(q, chunks, 0)
 
 
+def shuffled(spark, run):
+    """Rows that ``run`` writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    return run(), total() - before
+
+
+def test_bm25_of_a_large_source_makes_no_row_for_each_common_term(spark):
+    """One source in several parts, and a small one: every query is right, and queries times chunks are nowhere shuffled."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join(rng.choices(words, [40 // (j + 1) + 1 for j in range(40)], k=rng.randint(3, 12))) for i in range(1, 1201)}
+    texts |= {i: texts[7] for i in range(900, 920)}  # ties end in the chunk's place
+    small = {i: t for i, t in texts.items() if i < 31}
+    rows = [(1, i, 1200 - i, t) for i, t in texts.items()] + [(2, 5000 + i, i, t) for i, t in small.items()]
+    chunks = spark.createDataFrame(rows, "source_id long, chunk_id long, chunk_index int, text string")
+    asked = {i: rng.choices(words, k=8) + ["zz"] for i in range(200)} | {200: texts[7].split()}
+    q = spark.createDataFrame([(i, s, " ".join(x)) for i, x in asked.items() for s in (1, 2)], "query_id long, source_id long, query_text string")
+    got, n = shuffled(spark, lambda: retrieval.top_k(q, chunks, 5).collect())
+    mine = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        mine.setdefault((r["query_id"], r["source_id"]), []).append((r["chunk_id"], r["overlap"], round(r["overlap_ratio"], 9)))
+    for i, x in asked.items():
+        for s, held, shift, sign in ((1, texts, 0, -1), (2, small, 5000, 1)):
+            want = brute_bm25(held, x)
+            common = {k: len(set(held[k].split()) & set(x)) for k in want}
+            best = sorted(want, key=lambda k: (-round(want[k], 9), -common[k], sign * k))[:5]
+            assert mine[i, s] == [(k + shift, common[k], round(common[k] / len(set(x)), 9)) for k in best]
+    assert n < len(asked) * len(texts) / 4
+
+
 # -- provenance ---------------------------------------------------------------------------------------------------------
 
 

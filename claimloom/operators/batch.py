@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from claimloom.functions.text import content_stems, coverage, numbers, numbers_match, strip
+from claimloom.functions.text import content_stems, coverage, hashed, numbers, numbers_match, strip
 from claimloom.operators import chunking, nli, policy, retrieval
+from claimloom.session import cut
 
 # Source states of failed acquisitions, and what they are called by.
 SOURCE_STATES = [
@@ -62,14 +63,17 @@ def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5, factory: nli.Factory
     Retrieve k chunks per pair, cut them into windows, score windows with the model of ``factory`` (named ``model``; without one
     with the stand-in), guard numbers and relevance, decide. Windows that the model can't score decide nothing.
     Quotes are slices of the chunks' own text, so provenance holds by construction. A pair without a lexical candidate
-    gets ABSTAIN / NO_LEXICAL_CANDIDATES. Scoring runs after the top-k exchange, on selected chunks only.
+    gets ABSTAIN / NO_LEXICAL_CANDIDATES. Scoring runs after the top-k exchange, on selected chunks only. The chunks found are cut
+    through the checkpoint folder, as they are used twice and what led to them can go. Stems and numbers meet as 64-bit hashes,
+    and the scored windows are sent to their pair without text.
     """
     hits = retrieval.top_k(pairs.select(F.col("claim_id").alias("query_id"), "source_id", F.col("claim").alias("query_text")), chunks, k)
+    hits = cut(hits.select("query_id", "source_id", "rank", "chunk_id", "score"), tidy=True)
     wanted = hits.select("chunk_id").distinct()
     # Stems and numbers are taken once a claim and once a window, before pairs multiply them.
     w = chunking.windows(chunks.join(wanted, "chunk_id", "left_semi"), "chunk_id")
-    w = w.select("chunk_id", "window_index", "start_char", "end_char", "quote", content_stems(F.col("quote")).alias("q_stems"), numbers(F.col("quote")).alias("q_numbers"))
-    c = pairs.select("claim_id", "claim").distinct().select("claim_id", content_stems(F.col("claim")).alias("c_stems"), numbers(F.col("claim")).alias("c_numbers"))
+    w = w.select("chunk_id", "window_index", "start_char", "end_char", "quote", hashed(content_stems(F.col("quote"))).alias("q_stems"), hashed(numbers(F.col("quote"))).alias("q_numbers"))
+    c = pairs.select("claim_id", "claim").distinct().select("claim_id", hashed(content_stems(F.col("claim"))).alias("c_stems"), hashed(numbers(F.col("claim"))).alias("c_numbers"))
     rows = hits.withColumnRenamed("query_id", "claim_id").join(c, "claim_id").join(w, "chunk_id")
     rows = rows.withColumn("coverage", coverage(F.col("c_stems"), F.col("q_stems"))).withColumn("numbers_hit", numbers_match(F.col("c_numbers"), F.col("q_numbers")))
     scores = lexical_scores(F.col("coverage"), F.col("numbers_hit"))
@@ -85,7 +89,8 @@ def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5, factory: nli.Factory
         F.col("numbers_hit").alias("numeric_match"),
         (F.col("coverage") >= RELEVANT).alias("claim_relevant"),
     )
-    d = policy.decide(ev, "claim_id", "source_id")
+    # Partial sums would be larger than the rows: few of a pair's windows are in one place before.
+    d = policy.decide(ev.repartition("claim_id", "source_id"), "claim_id", "source_id")
     none = F.col("verdict").isNull()
     return pairs.select("claim_id", "source_id").join(d, ["claim_id", "source_id"], "left").select(
         "claim_id", "source_id",

@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the one the cluster names, else (tests, one machine) a temporary one.
 
@@ -27,10 +30,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame, eager: bool = True, tidy: bool = False) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder, so a lost executor costs no recomputation.
+
+    ``tidy``: the shuffle files that led to it go at once; else they stay until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not tidy:
+        return df.checkpoint(eager)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        return df.select("*").checkpoint(True)  # the setting counts when a query is planned
+    finally:
+        spark.conf.set(TIDY, before) if before is not None else spark.conf.unset(TIDY)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -249,6 +249,20 @@ def test_single_equals_batch(spark):
     assert {r["model"] for r in together.values()} == {"lexical_stub"}
 
 
+def test_verify_of_a_large_source_shuffles_only_what_it_found(spark):
+    """Pairs times chunks of a source are nowhere shuffled, not even once; chunks found are looked for once."""
+    words = [f"{a}{b}" for a in ("reef", "coral", "tide", "fish") for b in ("al", "or", "um", "ine", "ost")]
+    rng = random.Random(8)
+    texts = [" ".join(["the", "of", "in", "and", *rng.choices(words, k=9), f"{i} percent."]) for i in range(1000)]
+    chunks = spark.createDataFrame([(1, i, i, 0, t) for i, t in enumerate(texts)], "source_id long, chunk_id long, chunk_index int, start_char int, text string")
+    pairs = spark.createDataFrame([(i, 1, texts[i]) for i in range(200)] + [(900, 1, "the of in and quantum 5")], "claim_id long, source_id long, claim string")
+    got, n = shuffled(spark, lambda: {r["claim_id"]: r for r in batch.verify(pairs, chunks).collect()})
+    assert len(got) == 201 and all(got[i]["verdict"] == "PASS" and got[i]["candidate_id"] == 100000 for i in range(200)) and got[900]["verdict"] == "ABSTAIN"
+    assert {r["n_windows"] for r in got.values()} == {5}
+    assert n < 200 * 1000 / 4
+    assert "MapInArrow" not in batch.verify(pairs.limit(3), chunks)._jdf.queryExecution().toString()
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, '{"summary": {"total_errors_found": null, "total_warnings_found": 2}}'), (2, '{"summary": {"total_unverified_refs": 1}}'), (3, "{broken"), (4, None)], "id int, report string")
     t = readers.report_totals(df)

@@ -263,6 +263,19 @@ def test_verify_of_a_large_source_shuffles_only_what_it_found(spark):
     assert "MapInArrow" not in batch.verify(pairs.limit(3), chunks)._jdf.queryExecution().toString()
 
 
+def large_batch(spark):
+    """200 items and a bad one put to a source of 1,000 chunks."""
+    texts = [f"the of in and reef{i % 37} coral{i % 41} tide{i} {i} percent." for i in range(1000)]
+    chunks = spark.createDataFrame([(1, i, i, 0, t) for i, t in enumerate(texts)], "source_id long, chunk_id long, chunk_index int, start_char int, text string")
+    items = spark.createDataFrame([(i, texts[i], "s1") for i in range(200)] + [(200, None, "s1")], "index long, claim string, source string")
+    return batch.verify_claims(items, spark.createDataFrame([("s1", 1, None)], "source string, source_id long, error string"), chunks)
+
+
+def test_results_of_a_large_source_shuffle_only_what_was_found(spark):
+    got, n = shuffled(spark, lambda: {r["index"]: r["verdict"] for r in large_batch(spark).collect()})
+    assert got == {i: "PASS" for i in range(200)} | {200: None} and n < 200 * 1000 / 4
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, '{"summary": {"total_errors_found": null, "total_warnings_found": 2}}'), (2, '{"summary": {"total_unverified_refs": 1}}'), (3, "{broken"), (4, None)], "id int, report string")
     t = readers.report_totals(df)

@@ -276,6 +276,11 @@ def test_results_of_a_large_source_shuffle_only_what_was_found(spark):
     assert got == {i: "PASS" for i in range(200)} | {200: None} and n < 200 * 1000 / 4
 
 
+def test_totals_of_a_large_source_shuffle_only_what_was_found(spark):
+    s, n = shuffled(spark, lambda: batch.summary(large_batch(spark)).first())
+    assert (s["total"], s["passed"], s["errors"], s["source_loads"]) == (201, 200, 1, 1) and n < 200 * 1000 / 4
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, '{"summary": {"total_errors_found": null, "total_warnings_found": 2}}'), (2, '{"summary": {"total_unverified_refs": 1}}'), (3, "{broken"), (4, None)], "id int, report string")
     t = readers.report_totals(df)

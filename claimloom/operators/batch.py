@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from claimloom.functions.text import content_stems, coverage, hashed, numbers, numbers_match, strip
 from claimloom.operators import chunking, nli, policy, retrieval
-from claimloom.session import cut
+from claimloom.session import cut, kept
 
 # Source states of failed acquisitions, and what they are called by.
 SOURCE_STATES = [
@@ -63,36 +65,40 @@ def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5, factory: nli.Factory
     Retrieve k chunks per pair, cut them into windows, score windows with the model of ``factory`` (named ``model``; without one
     with the stand-in), guard numbers and relevance, decide. Windows that the model can't score decide nothing.
     Quotes are slices of the chunks' own text, so provenance holds by construction. A pair without a lexical candidate
-    gets ABSTAIN / NO_LEXICAL_CANDIDATES. Scoring runs after the top-k exchange, on selected chunks only. The chunks found are cut
-    through the checkpoint folder, as they are used twice and what led to them can go. Stems and numbers meet as 64-bit hashes,
-    and the scored windows are sent to their pair without text.
+    gets ABSTAIN / NO_LEXICAL_CANDIDATES. Scoring runs after the top-k exchange, on selected chunks only. Stems and numbers meet as
+    64-bit hashes, and the scored windows are sent to their pair without text. It is done step by step, when called: pairs, search,
+    windows, verdicts. Of each step only its result stays on disk, after the last only the verdicts.
     """
-    hits = retrieval.top_k(pairs.select(F.col("claim_id").alias("query_id"), "source_id", F.col("claim").alias("query_text")), chunks, k)
-    hits = cut(hits.select("query_id", "source_id", "rank", "chunk_id", "score"), tidy=True)
-    wanted = hits.select("chunk_id").distinct()
-    # Stems and numbers are taken once a claim and once a window, before pairs multiply them.
-    w = chunking.windows(chunks.join(wanted, "chunk_id", "left_semi"), "chunk_id")
-    w = w.select("chunk_id", "window_index", "start_char", "end_char", "quote", hashed(content_stems(F.col("quote"))).alias("q_stems"), hashed(numbers(F.col("quote"))).alias("q_numbers"))
-    c = pairs.select("claim_id", "claim").distinct().select("claim_id", hashed(content_stems(F.col("claim"))).alias("c_stems"), hashed(numbers(F.col("claim"))).alias("c_numbers"))
-    rows = hits.withColumnRenamed("query_id", "claim_id").join(c, "claim_id").join(w, "chunk_id")
-    rows = rows.withColumn("coverage", coverage(F.col("c_stems"), F.col("q_stems"))).withColumn("numbers_hit", numbers_match(F.col("c_numbers"), F.col("q_numbers")))
-    scores = lexical_scores(F.col("coverage"), F.col("numbers_hit"))
-    if factory is not None:
-        texts = pairs.select("claim_id", "claim").distinct()
-        rows = nli.score(rows.join(texts, "claim_id"), factory)
-        scores = [F.col(x) for x in nli.LABELS]
-    ev = rows.select(
-        "claim_id", "source_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), "chunk_id", "start_char", "end_char", "quote",
-        (F.col("rank") * 100000 + F.col("window_index")).cast("long").alias("candidate_id"),
-        *scores,
-        F.lit(True).alias("provenance_verified"),
-        F.col("numbers_hit").alias("numeric_match"),
-        (F.col("coverage") >= RELEVANT).alias("claim_relevant"),
-    )
-    # Partial sums would be larger than the rows: few of a pair's windows are in one place before.
-    d = policy.decide(ev.repartition("claim_id", "source_id"), "claim_id", "source_id")
+    with ExitStack() as steps:
+        asked = steps.enter_context(kept(pairs.select("claim_id", "source_id", "claim")))
+        with kept(retrieval.searchable(chunks)) as corpus:
+            hits = retrieval.top_k(asked.select(F.col("claim_id").alias("query_id"), "source_id", F.col("claim").alias("query_text")), corpus, k)
+            hits = steps.enter_context(kept(hits.select(F.col("query_id").alias("claim_id"), "source_id", "rank", "chunk_id", "score")))
+        # Stems and numbers are taken once a claim and once a window, before pairs multiply them.
+        w = chunking.windows(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id")
+        quote = [] if factory is None else ["quote"]
+        w = steps.enter_context(kept(w.select("chunk_id", "window_index", "start_char", *quote, hashed(content_stems(F.col("quote"))).alias("q_stems"), hashed(numbers(F.col("quote"))).alias("q_numbers"))))
+        texts = asked.select("claim_id", "claim").distinct()
+        c = texts.select("claim_id", hashed(content_stems(F.col("claim"))).alias("c_stems"), hashed(numbers(F.col("claim"))).alias("c_numbers"))
+        rows = hits.join(c, "claim_id").join(w, "chunk_id")
+        rows = rows.withColumn("coverage", coverage(F.col("c_stems"), F.col("q_stems"))).withColumn("numbers_hit", numbers_match(F.col("c_numbers"), F.col("q_numbers")))
+        scores = lexical_scores(F.col("coverage"), F.col("numbers_hit"))
+        if factory is not None:
+            rows = nli.score(rows.join(texts, "claim_id"), factory)
+            scores = [F.col(x) for x in nli.LABELS]
+        ev = rows.select(
+            "claim_id", "source_id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"), "chunk_id", "start_char",
+            (F.col("rank") * 100000 + F.col("window_index")).cast("long").alias("candidate_id"),
+            *scores,
+            F.lit(True).alias("provenance_verified"),
+            F.col("numbers_hit").alias("numeric_match"),
+            (F.col("coverage") >= RELEVANT).alias("claim_relevant"),
+        )
+        # Partial sums would be larger than the rows: few of a pair's windows are in one place before.
+        d = policy.decide(ev.repartition("claim_id", "source_id"), "claim_id", "source_id")
+        d = cut(asked.select("claim_id", "source_id").join(d, ["claim_id", "source_id"], "left"), tidy=True)
     none = F.col("verdict").isNull()
-    return pairs.select("claim_id", "source_id").join(d, ["claim_id", "source_id"], "left").select(
+    return d.select(
         "claim_id", "source_id",
         F.coalesce("verdict", F.lit("ABSTAIN")).alias("verdict"),
         F.coalesce("semantic_class", F.lit("INSUFFICIENT_EVIDENCE")).alias("semantic_class"),

@@ -182,10 +182,15 @@ def _score_parts(k: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
+def searchable(chunks: DataFrame, source: str = "source_id", key: str = "chunk_id") -> DataFrame:
+    """(source, key, chunk_index, _t): the chunks with a source and a key, their tokens joined by blanks. ``top_k`` takes it for ``chunks``."""
+    return chunks.where(F.col(source).isNotNull() & F.col(key).isNotNull()).select(source, key, "chunk_index", F.array_join(tokens(F.col("text")), " ").alias("_t"))
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "query_id", source: str = "source_id", key: str = "chunk_id") -> DataFrame:
     """The k best chunks of each (query, source): rank, score, overlap, overlap_ratio.
 
-    ``queries``: (query, source, query_text); ``chunks``: (source, key, chunk_index, text). A chunk must share a term with
+    ``queries``: (query, source, query_text); ``chunks``: (source, key, chunk_index, text), or ``searchable`` of them where the caller keeps it. A chunk must share a term with
     the query; scores may be negative (tiny corpora) and still rank. Order: score, overlap, chunk_index, key. Query
     terms count as often as they occur. Queries without tokens and sources without chunks give no row. Scores are rounded
     to 9 places before they rank, so that the order of summation doesn't matter.
@@ -198,8 +203,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "query
     if not 1 <= k <= 20:
         raise ValueError("k must be from 1 to 20")
     spark = chunks.sparkSession
-    texts = chunks.where(F.col(source).isNotNull() & F.col(key).isNotNull()).select(source, key, "chunk_index", F.array_join(tokens(F.col("text")), " ").alias("_t"))
-    held = cut(texts).where("_t <> ''")
+    held = (chunks if "_t" in chunks.columns else cut(searchable(chunks, source, key))).where("_t <> ''")
     every = held.count()
     largest = max(LEAST, min(MOST, every // HOT))
     split = held.groupBy(source).agg(F.count("*").alias("_n")).where(F.col("_n") > largest).select(source, F.ceil(F.col("_n") / largest).cast("int").alias("_parts"))

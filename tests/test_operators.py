@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -281,6 +282,35 @@ def test_totals_of_a_large_source_shuffle_only_what_was_found(spark):
     assert (s["total"], s["passed"], s["errors"], s["source_loads"]) == (201, 200, 1, 1) and n < 200 * 1000 / 4
 
 
+def left_on_disk(spark, run):
+    """(what ``run`` gives, bytes of checkpoints and shuffle files that it leaves)."""
+
+    def files():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        shuffles = env.blockManager().diskBlockManager().getAllFiles()
+        shuffles = [Path(shuffles.apply(i).getPath()) for i in range(shuffles.length())]
+        checkpoints = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*")
+        return {p: p.stat().st_size for p in [*shuffles, *checkpoints] if p.is_file()}
+
+    before = files()
+    got = run()
+    return got, sum(n for p, n in files().items() if p not in before)
+
+
+def long_batch(spark):
+    """20 items put to 300 chunks of 2,000 characters, 600 KB of text that hardly compresses."""
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.getrandbits(60):015x}" for _ in range(125)) for _ in range(300)]
+    chunks = spark.createDataFrame([(i % 20, i, i, 0, t) for i, t in enumerate(texts)], "source_id long, chunk_id long, chunk_index int, start_char int, text string")
+    items = spark.createDataFrame([(i, texts[i][:159], f"s{i}") for i in range(20)], "index long, claim string, source string")
+    return batch.verify_claims(items, spark.createDataFrame([(f"s{i}", i, None) for i in range(20)], "source string, source_id long, error string"), chunks)
+
+
+def test_results_leave_no_texts_on_disk(spark):
+    got, n = left_on_disk(spark, lambda: {r["index"]: (r["verdict"], r["loaded"]) for r in long_batch(spark).collect()})
+    assert got == {i: ("PASS", i) for i in range(20)} and n < 600_000 / 4
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, '{"summary": {"total_errors_found": null, "total_warnings_found": 2}}'), (2, '{"summary": {"total_unverified_refs": 1}}'), (3, "{broken"), (4, None)], "id int, report string")
     t = readers.report_totals(df)

@@ -311,6 +311,11 @@ def test_results_leave_no_texts_on_disk(spark):
     assert got == {i: ("PASS", i) for i in range(20)} and n < 600_000 / 4
 
 
+def test_totals_leave_no_texts_on_disk(spark):
+    s, n = left_on_disk(spark, lambda: batch.summary(long_batch(spark)).first())
+    assert (s["total"], s["passed"], s["source_loads"]) == (20, 20, 20) and n < 600_000 / 4
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, '{"summary": {"total_errors_found": null, "total_warnings_found": 2}}'), (2, '{"summary": {"total_unverified_refs": 1}}'), (3, "{broken"), (4, None)], "id int, report string")
     t = readers.report_totals(df)

@@ -24,6 +24,8 @@ SOURCE_STATES = [
 RELEVANT = 0.30
 #: Identity of the stand-in scorer; it is lexical and no language inference.
 STUB_MODEL = "lexical_stub"
+#: Pairs are verified in rounds of about so many, but in at most MOST_ROUNDS rounds: each reads the chunks' table anew.
+ROUND, MOST_ROUNDS = 100_000, 4
 
 
 def validation(claim: Column, source: Column) -> Column:
@@ -59,20 +61,12 @@ def lexical_scores(cov: Column, numbers_hit: Column) -> list[Column]:
     return [con.alias("contradiction"), ent.alias("entailment"), F.round(1.0 - ent - con, 6).alias("neutral")]
 
 
-def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5, factory: nli.Factory | None = None, model: str = "") -> DataFrame:
-    """Verdicts for (claim_id, source_id, claim) over chunks(source_id, chunk_id, chunk_index, start_char, text).
-
-    Retrieve k chunks per pair, cut them into windows, score windows with the model of ``factory`` (named ``model``; without one
-    with the stand-in), guard numbers and relevance, decide. Windows that the model can't score decide nothing.
-    Quotes are slices of the chunks' own text, so provenance holds by construction. A pair without a lexical candidate
-    gets ABSTAIN / NO_LEXICAL_CANDIDATES. Scoring runs after the top-k exchange, on selected chunks only. Stems and numbers meet as
-    64-bit hashes, and the scored windows are sent to their pair without text. It is done step by step, when called: pairs, search,
-    windows, verdicts. Of each step only its result stays on disk, after the last only the verdicts.
-    """
+def _verdicts(asked: DataFrame, chunks: DataFrame, k: int, factory: nli.Factory | None, every: int | None) -> DataFrame:
+    """``verify`` for pairs that are kept: what ``policy.decide`` says of each, nulls where no candidate was found. ``every``: chunks of all
+    rounds."""
     with ExitStack() as steps:
-        asked = steps.enter_context(kept(pairs.select("claim_id", "source_id", "claim")))
         with kept(retrieval.searchable(chunks)) as corpus:
-            hits = retrieval.top_k(asked.select(F.col("claim_id").alias("query_id"), "source_id", F.col("claim").alias("query_text")), corpus, k)
+            hits = retrieval.top_k(asked.select(F.col("claim_id").alias("query_id"), "source_id", F.col("claim").alias("query_text")), corpus, k, every=every)
             hits = steps.enter_context(kept(hits.select(F.col("query_id").alias("claim_id"), "source_id", "rank", "chunk_id", "score")))
         # Stems and numbers are taken once a claim and once a window, before pairs multiply them.
         w = chunking.windows(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id")
@@ -96,7 +90,28 @@ def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5, factory: nli.Factory
         )
         # Partial sums would be larger than the rows: few of a pair's windows are in one place before.
         d = policy.decide(ev.repartition("claim_id", "source_id"), "claim_id", "source_id")
-        d = cut(asked.select("claim_id", "source_id").join(d, ["claim_id", "source_id"], "left"), tidy=True)
+        return cut(asked.select("claim_id", "source_id").join(d, ["claim_id", "source_id"], "left"), tidy=True)
+
+
+def verify(pairs: DataFrame, chunks: DataFrame, k: int = 5, factory: nli.Factory | None = None, model: str = "") -> DataFrame:
+    """Verdicts for (claim_id, source_id, claim) over chunks(source_id, chunk_id, chunk_index, start_char, text).
+
+    Retrieve k chunks per pair, cut them into windows, score windows with the model of ``factory`` (named ``model``; without one
+    with the stand-in), guard numbers and relevance, decide. Windows that the model can't score decide nothing.
+    Quotes are slices of the chunks' own text, so provenance holds by construction. A pair without a lexical candidate
+    gets ABSTAIN / NO_LEXICAL_CANDIDATES. Scoring runs after the top-k exchange, on selected chunks only. Stems and numbers meet as
+    64-bit hashes, and the scored windows are sent to their pair without text. It is done step by step, when called: pairs, search,
+    windows, verdicts. Of each step only its result stays on disk, after the last only the verdicts. Many pairs go through these steps
+    in rounds, a share of the sources with all their pairs and chunks in each, so that only a round's share is on disk at a time.
+    """
+    with kept(pairs.select("claim_id", "source_id", "claim")) as asked:
+        rounds = min(MOST_ROUNDS, 1 + asked.count() // ROUND)
+        every = None if rounds == 1 else chunks.select("chunk_id").count()
+        kind, d = dict(chunks.dtypes)["source_id"], None  # hashes of equal ids differ by type
+        for i in range(rounds):
+            share = F.pmod(F.xxhash64(F.col("source_id").cast(kind)), F.lit(rounds)) == i
+            own = _verdicts(asked.where(share), chunks.where(share), k, factory, every)
+            d = own if d is None else d.unionByName(own)
     none = F.col("verdict").isNull()
     return d.select(
         "claim_id", "source_id",

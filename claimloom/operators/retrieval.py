@@ -187,7 +187,7 @@ def searchable(chunks: DataFrame, source: str = "source_id", key: str = "chunk_i
     return chunks.where(F.col(source).isNotNull() & F.col(key).isNotNull()).select(source, key, "chunk_index", F.array_join(tokens(F.col("text")), " ").alias("_t"))
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "query_id", source: str = "source_id", key: str = "chunk_id") -> DataFrame:
+def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "query_id", source: str = "source_id", key: str = "chunk_id", every: int | None = None) -> DataFrame:
     """The k best chunks of each (query, source): rank, score, overlap, overlap_ratio.
 
     ``queries``: (query, source, query_text); ``chunks``: (source, key, chunk_index, text), or ``searchable`` of them where the caller keeps it. A chunk must share a term with
@@ -198,13 +198,13 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, query: str = "query
     Every chunk of a source is scored for every query put to it, in the memory of one task, from which only the k best come:
     what queries and chunks have in common is never a row. Sources larger than a HOT-th of all chunks (or MOST) are dealt out
     over parts by their chunk's key. All queries of such a source go to each of its parts, along with the whole source's idf of the part's
-    terms; the k best of all parts are ranked together.
+    terms; the k best of all parts are ranked together. ``every`` is the number of all chunks, where ``chunks`` are only those of some sources.
     """
     if not 1 <= k <= 20:
         raise ValueError("k must be from 1 to 20")
     spark = chunks.sparkSession
     held = (chunks if "_t" in chunks.columns else cut(searchable(chunks, source, key))).where("_t <> ''")
-    every = held.count()
+    every = held.count() if every is None else every
     largest = max(LEAST, min(MOST, every // HOT))
     split = held.groupBy(source).agg(F.count("*").alias("_n")).where(F.col("_n") > largest).select(source, F.ceil(F.col("_n") / largest).cast("int").alias("_parts"))
     split = F.broadcast(cut(split))  # at most a row for each part that all chunks together fill

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimloom.functions import identifiers as I, text as T
 from claimloom.operators import batch, chunking, html, nested, policy, provenance, references, retrieval, store
-from claimloom.session import table
+from claimloom.session import cut, table
 from claimloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Ids of replaced chunks that are sent to all tasks at most.
+BROADCAST = 2_000_000
 
 
 def query(f: Query) -> Query:
@@ -151,9 +153,12 @@ def page_sidecar(spark: SparkSession, d: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
     """The current chunks of each paper: of one delivered again, the last."""
-    c = table(spark, d, "chunks")
-    kept = c.groupBy("paper_id", "content_hash", "chunk_index").agg(F.max("id").alias("id")).select("id")
-    return c.join(kept, "id", "left_semi").select(F.col("paper_id").alias("source_id"), F.col("id").alias("chunk_id"), "chunk_index", "start_char", "text")
+    c = table(spark, d, "chunks").where("id is not null")
+    last = c.groupBy("paper_id", "content_hash", "chunk_index").agg(F.max("id").alias("id")).select("id")
+    # Those that were replaced are few, so their ids go to the texts; beyond BROADCAST they meet in a shuffle.
+    replaced = cut(c.select("id").join(last, "id", "left_anti"), tidy=True)
+    replaced = F.broadcast(replaced) if replaced.count() <= BROADCAST else replaced
+    return c.join(replaced, "id", "left_anti").select(F.col("paper_id").alias("source_id"), F.col("id").alias("chunk_id"), "chunk_index", "start_char", "text")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

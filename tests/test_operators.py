@@ -316,6 +316,31 @@ def test_totals_leave_no_texts_on_disk(spark):
     assert (s["total"], s["passed"], s["source_loads"]) == (20, 20, 20) and n < 600_000 / 4
 
 
+def test_totals_hold_a_share_of_the_texts_at_a_time(spark, monkeypatch):
+    """Where there are many pairs, no more than a round's chunks are on disk together, and each chunk is in one round."""
+    held, top_k = [], retrieval.top_k
+
+    def seen(queries, chunks, *args, **more):
+        held.append(chunks.count())
+        return top_k(queries, chunks, *args, **more)
+
+    monkeypatch.setattr(batch, "ROUND", 5, raising=False)
+    monkeypatch.setattr(retrieval, "top_k", seen)
+    s = batch.summary(long_batch(spark)).first()
+    assert (s["total"], s["passed"], s["source_loads"]) == (20, 20, 20) and sum(held) == 300 and max(held) <= 300 / 2
+
+
+def test_rounds_change_no_verdict(spark, monkeypatch):
+    """A source in parts, small ones, one without chunks and none; ids of pairs and chunks differ in type."""
+    texts = [f"the of in and reef{i % 37} coral{i % 41} tide{i} {i} percent." for i in range(1000)]
+    chunks = spark.createDataFrame([(1 if i < 700 else 2 + i % 9, i, i, 0, t) for i, t in enumerate(texts)], "source_id int, chunk_id long, chunk_index int, start_char int, text string")
+    pairs = spark.createDataFrame([(i, 1 if i < 700 else 2 + i % 9, texts[i]) for i in range(0, 1000, 9)] + [(2000, 99, "reef1"), (2001, None, "reef1"), (2002, 1, "quantum")], "claim_id long, source_id long, claim string")
+    once = sorted(batch.verify(pairs, chunks).collect(), key=lambda r: r["claim_id"])
+    monkeypatch.setattr(batch, "ROUND", 10, raising=False)
+    assert sorted(batch.verify(pairs, chunks).collect(), key=lambda r: r["claim_id"]) == once
+    assert len(once) == 115 and {r["verdict"] for r in once[:112]} == {"PASS"} and {r["reason"] for r in once[112:]} == {"NO_LEXICAL_CANDIDATES"}
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, '{"summary": {"total_errors_found": null, "total_warnings_found": 2}}'), (2, '{"summary": {"total_unverified_refs": 1}}'), (3, "{broken"), (4, None)], "id int, report string")
     t = readers.report_totals(df)
